@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, media_columns
+from geoloom.llm import bpe, media_columns, ngram_join
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(_read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_bpe_round_trip, op10_media_columns)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op9_bpe_round_trip, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
