@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, media_columns, ngram_join
+from geoloom.llm import bpe, license_scan, media_columns, ngram_join, packing, token_shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(_read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_file_digest(_read(spark, sf_dir, "documents"), bpe.vocabulary_path("word_bpe_49k.json"), end_id=1)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), bpe.vocabulary_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"))
 
@@ -26,7 +38,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op9_bpe_round_trip, op10_media_columns)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_binary, op4_license_scan, op6_best_fit_packing, op9_bpe_round_trip, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
