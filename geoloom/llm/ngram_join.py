@@ -45,6 +45,8 @@ GATHER = 1_500_000
 HOT = 8
 #: Sets of one bucket that are compared with each other in one task.
 BLOCK = 2048
+#: Keys of its own that a set brings to a comparison.
+FIRST = 8
 
 
 def most_different(total: int, percent: int) -> int:
@@ -254,7 +256,8 @@ def _fold(sketches: np.ndarray, size: int) -> np.ndarray:
 def _compare(percent: int, nearest: bool):
     """Rows sorted by (key, i, j): pairs of one bucket's sets in different components that the sketches don't rule out.
 
-    nearest: of each set only its nearest such partner.
+    nearest: of each set only its nearest such partner. Two sets often share many buckets. Each brings the FIRST smallest of
+    its keys; if these have common ones, only the bucket of the smallest of those gives the pair.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int64())])
 
@@ -264,6 +267,18 @@ def _compare(percent: int, nearest: bool):
         if (comp == comp[0]).all():
             return None
         length = np.array([len(x[7]) for x in group])
+        # A set that has fewer keys fills up with values that no other set has.
+        keys = -1 - np.arange(len(group) * FIRST).reshape(-1, FIRST)
+        for row, x in zip(keys, group, strict=True):
+            row[: len(x[8])] = x[8]
+
+        def here(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.ones(len(x), bool)
+            for at in range(0, len(x), 1 << 15):
+                a, b = keys[x[at : at + (1 << 15)]], keys[y[at : at + (1 << 15)]]
+                common = (a[:, :, None] == b[:, None, :]).any(axis=2)
+                out[at : at + (1 << 15)] = ~common.any(axis=1) | (a[np.arange(len(a)), common.argmax(axis=1)] == key)
+            return out
         found: list[np.ndarray] = []
         for size in np.unique(length):
             short, all_ = np.flatnonzero(length == size), np.flatnonzero(length >= size)
@@ -282,6 +297,7 @@ def _compare(percent: int, nearest: bool):
                 if len(r):
                     d = np.bitwise_count(left[at + r] ^ right[c]).sum(axis=1, dtype=np.int64)
                     good = d <= most[r, c]
+                    good[good] = here(x[r[good]], all_[c[good]])
                     found.append(np.stack([x[r[good]], all_[c[good]], d[good]]))
         if not found:
             return None
@@ -391,9 +407,11 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         at = wide.join(of("a"), "a", "left").join(of("b"), "b", "left").select("key", "a", "b", F.expr("coalesce(ca, a)").alias("ca"), F.expr("coalesce(cb, b)").alias("cb"))
         mixed = at.groupBy("key").agg(F.min(F.least("ca", "cb")).alias("low"), F.max(F.greatest("ca", "cb")).alias("high"), F.count("*").alias("rows")).where("low <> high").select("key", F.expr(f"cast(rows div {BLOCK} + 1 as int)").alias("blocks"))
         member = at.join(mixed, "key").select("key", "blocks", F.expr("stack(2, a, ca, b, cb) as (id, c)")).distinct()
-        dealt = member.join(one.select("doc_id", "n", "sketch"), member.id == one.doc_id).withColumn("salt", F.expr("pmod(xxhash64(id), blocks)"))
-        dealt = dealt.select("key", "id", "c", "n", "salt", "sketch", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        dealt = dealt.select("key", F.expr("least(salt, other)").alias("i"), F.expr("greatest(salt, other)").alias("j"), "id", "c", "n", "salt", "sketch")
+        firsts = member.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("firsts"))
+        own = one.select("doc_id", "n", "sketch").join(firsts.withColumnRenamed("id", "doc_id"), "doc_id")
+        dealt = member.join(own, member.id == own.doc_id).withColumn("salt", F.expr("pmod(xxhash64(id), blocks)"))
+        dealt = dealt.select("key", "id", "c", "n", "salt", "sketch", "firsts", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        dealt = dealt.select("key", F.expr("least(salt, other)").alias("i"), F.expr("greatest(salt, other)").alias("j"), "id", "c", "n", "salt", "sketch", "firsts")
         dealt = dealt.repartition(arrow.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = dealt.mapInArrow(_compare(percent, only_nearest), "a long, b long, distance long").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stash.keep(pairs.withColumn("equal", F.lit(False)), f"near-{k}")
