@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, license_scan, media_columns, ngram_join, packing, token_shards
+from geoloom.llm import bpe, embedding_dedup, language_id, license_scan, media_columns, ngram_join, packing, token_shards, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_file_digest(_read(spark, sf_dir, "documents"), bpe.vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), bpe.vocabulary_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, _read(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.train(documents))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"))
 
@@ -38,7 +52,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_binary, op4_license_scan, op6_best_fit_packing, op9_bpe_round_trip, op10_media_columns)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,9 @@ LOWER[65:91] += 32
 #: Bytes that end a word in the classes used here: x20 and x09-x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII bytes but digits and small letters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,13 +75,21 @@ def word_bounds(data: np.ndarray, ends: np.ndarray = SPACE) -> tuple[np.ndarray,
     return change[0::2], change[1::2]
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums of a polynomial over hashed bytes."""
-    up, down = _powers.to(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of each word, from prefix sums of a polynomial over hashed bytes; long texts go block by block."""
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(last, first[at] + block, side="right")))
+        low, high = int(first[at]), int(last[to - 1])
+        up, down = _powers.to(high - low + 1)
+        total = np.empty(high - low + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[data[low:high]] * up[:-1], out=total[1:])
+        f, t = first[at:to] - low, last[at:to] - low
+        out[at:to] = mix((total[t] - total[f]) * down[f] + (t - f).astype(np.uint64))
+        at = to
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
