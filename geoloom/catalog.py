@@ -26,8 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from geoloom.plans import registered  # noqa: F401  registers on import
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from geoloom.plans import registered  # noqa: F401
+
     return dict(_ORACLES)

@@ -43,7 +43,7 @@ def category_summary(df: DataFrame, category: str = "category", total: bool = Tr
 def neighbourhood_pivot(df: DataFrame, categories: list[str], row: str = "neighbourhood", column: str = "category", total_row: bool = False, top: int | None = None) -> DataFrame:
     """Counts per row and category with TOTAL; null keys are left out. Categories are given, so the schema is fixed."""
     known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
-    out = known.groupBy(row).pivot(column, categories).agg(F.count("*")).na.fill(0)
+    out = known.groupBy(row).pivot(column, categories).agg(F.count(F.lit(1))).na.fill(0)
     out = out.withColumn("TOTAL", reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in categories]))
     if top:
         out = out.orderBy(F.desc("TOTAL"), row).limit(top)

@@ -71,59 +71,78 @@ def matches_any(tags: Column, alternatives: list[Tags]) -> Column:
     return _any([matches_all(tags, d) for d in alternatives])
 
 
-def verdict(tags: Column, rule: Rule, order: int) -> Column:
-    """Struct of one rule's verdict on normalised tags; its first fields sort as the choice between rules does."""
-    strict = matches_any(tags, rule.strict)
-    hits = [(k, condition(tags, k, v)) for k, v in rule.support.items()]
-    support = reduce(lambda a, b: a + b, [h.cast("int") for _, h in hits], F.lit(0))
+_ORDERED = "struct<matched:boolean,score:int,place:int,rule_code:string,confidence:string,reason:string,used_strict:boolean,matched_support_keys:array<string>,matched_name_patterns:array<string>>"
+
+
+def _facts(tags: Column, rule: Rule, order: int) -> Column:
+    """What one rule finds in normalised tags. Every condition occurs once, so that the expression stays small."""
     name = F.lower(F.coalesce(F.try_element_at(tags, F.lit("name")), F.lit("")))
-    named = [(p, F.contains(name, F.lit(p))) for p in rule.patterns]
-    by_name = (_any([h for _, h in named]) if rule.name_fallback else F.lit(False))
-    score = F.when(strict, 3).otherwise(0) + support + by_name.cast("int")
-    first = F.when(strict, "strict_match")
-    if rule.strict:
-        first = first.when((support > 0) & by_name, "support_match")
-    else:
-        first = first.when(support > 0, "support_match").when(by_name, "name_fallback")
-    if rule.accept_query:
-        first = first.when(matches_any(tags, rule.query), "query_tag_match")
-    reason = first
-    score = score + F.when(reason == "query_tag_match", rule.query_score).otherwise(0)
-    if not rule.support and not rule.patterns:
-        sure = (reason == "strict_match") | ((reason == "query_tag_match") & F.lit(rule.query_score >= 3))
-        score = F.when(sure & (score < 4), 4).otherwise(score)
-    matched = reason.isNotNull()
-    score = F.when(matched, score).otherwise(0)
-    label = F.when(matched, confidence_label(score)).otherwise("none")
-    keys = F.array_compact(F.array(*[F.when(h, k) for k, h in hits])) if hits else F.array().cast("array<string>")
-    names = F.array_compact(F.array(*[F.when(h, p) for p, h in named])) if named else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    keys = F.array_compact(F.array(*[F.when(condition(tags, k, v), k) for k, v in rule.support.items()])) if rule.support else none
+    named = F.array_compact(F.array(*[F.when(F.contains(name, F.lit(p)), p) for p in rule.patterns])) if rule.patterns else none
     return F.struct(
-        matched.alias("matched"),
-        score.alias("score"),
         F.lit(-order).alias("place"),
-        F.lit(rule.code).alias("rule_code"),
-        label.alias("confidence"),
-        F.coalesce(reason, F.lit("no_match")).alias("reason"),
-        strict.alias("used_strict"),
-        keys.alias("matched_support_keys"),
-        names.alias("matched_name_patterns"),
+        F.lit(rule.code).alias("code"),
+        matches_any(tags, rule.strict).alias("strict"),
+        (matches_any(tags, rule.query) if rule.accept_query else F.lit(False)).alias("query"),
+        keys.alias("keys"),
+        named.alias("names"),
+        F.lit(rule.name_fallback).alias("fallback"),
+        F.lit(bool(rule.strict)).alias("has_strict"),
+        F.lit(not rule.support and not rule.patterns).alias("tag_only"),
+        F.lit(rule.query_score).alias("query_score"),
     )
 
 
-_EMPTY = "struct<matched:boolean,score:int,place:int,rule_code:string,confidence:string,reason:string,used_strict:boolean,matched_support_keys:array<string>,matched_name_patterns:array<string>>"
+def _judge(f: Column) -> Column:
+    """The verdict on one rule's facts; its first fields sort as the choice between rules does.
+
+    3 points for strict tags, 1 for each supporting tag, 1 for a name where names may decide. Strict tags match; where there are any,
+    else a supporting tag and a name together do; where there are none, either. Failing that, a full query does if it may. Rules with nothing but
+    tags are as sure as can be when these match.
+    """
+    support, named = F.size(f["keys"]), f["fallback"] & (F.size(f["names"]) > 0)
+    reason = (
+        F.when(f["strict"], "strict_match")
+        .when(f["has_strict"] & (support > 0) & named, "support_match")
+        .when(~f["has_strict"] & (support > 0), "support_match")
+        .when(~f["has_strict"] & named, "name_fallback")
+        .when(f["query"], "query_tag_match")
+    )
+    points = F.when(f["strict"], 3).otherwise(0) + support + named.cast("int")
+    return F.struct(reason.alias("reason"), points.alias("points"), f.alias("f"))
+
+
+def _finish(v: Column) -> Column:
+    f, by_query = v["f"], F.coalesce(v["reason"] == "query_tag_match", F.lit(False))
+    score = v["points"] + F.when(by_query, f["query_score"]).otherwise(0)
+    sure = f["tag_only"] & (f["strict"] | (by_query & (f["query_score"] >= 3)))
+    return F.struct(v["reason"].isNotNull().alias("matched"), F.when(v["reason"].isNull(), 0).when(sure, F.greatest(score, F.lit(4))).otherwise(score).alias("score"), v.alias("v"))
+
+
+def _label(x: Column) -> Column:
+    f = x["v"]["f"]
+    return F.struct(x["matched"].alias("matched"), x["score"].alias("score"), f["place"].alias("place"), f["code"].alias("rule_code"), F.when(x["matched"], confidence_label(x["score"])).otherwise("none").alias("confidence"), F.coalesce(x["v"]["reason"], F.lit("no_match")).alias("reason"), f["strict"].alias("used_strict"), f["keys"].alias("matched_support_keys"), f["names"].alias("matched_name_patterns"))
+
+
+def verdicts(tags: Column, rules: list[Rule]) -> Column:
+    """Array of every rule's verdict, in registry order."""
+    facts = F.array(*[_facts(tags, r, k) for k, r in enumerate(rules)])
+    return F.transform(F.transform(F.transform(facts, _judge), _finish), _label)
 
 
 def evaluate(tags: Column, rules: list[Rule]) -> Column:
     """Verdicts of all rules, the best first: matched, score, then registry order."""
-    return F.reverse(F.array_sort(F.array(*[verdict(tags, r, k) for k, r in enumerate(rules)])))
+    return F.reverse(F.array_sort(verdicts(tags, rules)))
 
 
 def best(tags: Column, rules: list[Rule]) -> Column:
     """The best matched verdict, else an empty one."""
-    none = F.lit(None).cast(_EMPTY)
-    empty = F.struct(F.lit(False).alias("matched"), F.lit(0).alias("score"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("rule_code"), F.lit("none").alias("confidence"), F.lit("no_match").alias("reason"), F.lit(False).alias("used_strict"), F.array().cast("array<string>").alias("matched_support_keys"), F.array().cast("array<string>").alias("matched_name_patterns"))
-    top = F.array_max(F.array(*[verdict(tags, r, k) for k, r in enumerate(rules)])) if rules else none
-    return F.when(F.coalesce(top["matched"], F.lit(False)), top).otherwise(empty)
+    none = F.array().cast("array<string>")
+    empty = F.struct(F.lit(False).alias("matched"), F.lit(0).alias("score"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("rule_code"), F.lit("none").alias("confidence"), F.lit("no_match").alias("reason"), F.lit(False).alias("used_strict"), none.alias("matched_support_keys"), none.alias("matched_name_patterns")).cast(_ORDERED)
+    if not rules:
+        return empty
+    return F.array_max(F.concat(F.filter(verdicts(tags, rules), lambda v: v["matched"]).cast(f"array<{_ORDERED}>"), F.array(empty)))
 
 
 def post_filter(features: DataFrame, rule: Rule, tags: str = "tags") -> DataFrame:
@@ -149,11 +168,12 @@ def classify(features: DataFrame, rules: list[Rule], all_rules: list[Rule] | Non
     A building=yes row is judged again, by the rules that map such rows whatever `rules` holds; without a match it is unresolved.
     """
     every = all_rules or rules
-    out = features.withColumn("_t", normalized_tags(tags)).withColumn("_v", best(F.col("_t"), rules))
+    # A generated column is computed once per row, however many columns and filters use it later.
+    out = features.withColumn("_t", normalized_tags(tags)).select("*", F.explode(F.array(best(F.col("_t"), rules))).alias("_v"))
     columns = ["rule_code", "matched", "score", "confidence", "reason", "matched_support_keys", "matched_name_patterns"]
     picked = {c: F.col(f"_v.{c}") for c in columns}
     if handle_yes:
-        out = out.withColumn("_y", F.when(condition(F.col("_t"), "building", "yes"), best(F.col("_t"), [r for r in every if r.yes_mapping])))
+        out = out.select("*", F.explode(F.array(F.when(condition(F.col("_t"), "building", "yes"), best(F.col("_t"), [r for r in every if r.yes_mapping])))).alias("_y"))
         yes, hit = F.col("_y").isNotNull(), F.col("_y.matched")
         for c in columns:
             mapped = F.col(f"_y.{c}")
