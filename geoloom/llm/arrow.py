@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+_holder: list[tuple[str, Callable[[], None] | None]] = []
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Tells a Python worker, which outlives its tasks, whose memos it holds now; another owner's are released."""
+    if not _holder or _holder[0][0] != owner:
+        for _, free in _holder:
+            if free:
+                free()
+        _holder[:] = [(owner, release)]
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers that share this machine's file system import the package as the driver does."""
     root = str(Path(__file__).resolve().parents[2])

@@ -76,18 +76,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def read_spec(path: str) -> dict:
+    """The tokenizer file's content; ValueError for parts that aren't supported here."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
+    kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+    if model["type"] != "BPE" or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or split["behavior"] != "Removed" or not split["invert"] or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("dropout") or not model.get("end_of_word_suffix"):
+        raise ValueError("this tokenizer file has parts that aren't supported")
+    return spec
+
+
 class PrefixEncoder:
     def __init__(self, path: str) -> None:
         import ahocorasick
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        if model["type"] != "BPE" or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or split["behavior"] != "Removed" or not split["invert"] or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("dropout") or not model.get("end_of_word_suffix"):
-            raise ValueError("this tokenizer file has parts that PrefixEncoder doesn't support")
+        spec = read_spec(path)
+        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
         self.ids: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.pattern = regex.compile(split["pattern"]["Regex"])
@@ -201,12 +207,17 @@ class PrefixEncoder:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> PrefixEncoder:
-    """One per Python worker."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
+def encoder(path: str) -> PrefixEncoder:
+    """One per Python worker, as long as it does nothing else."""
+    arrow.claim("bpe", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def encode_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int): the ids themselves."""
     path = path or vocabulary_path()

@@ -16,7 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-from geoloom.llm.bpe import byte_symbols, chunks, encoder, vocabulary_path
+from geoloom.llm.arrow import claim
+from geoloom.llm.bpe import byte_symbols, chunks, read_spec, vocabulary_path
 
 #: Chunks in each of a worker's two generations of remembered chunks.
 REMEMBERED = 450_000
@@ -32,7 +33,7 @@ class ChunkEncoder:
         self.library.no_padding()
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.type = np.dtype("<u2" if self.code == "H" else "<u4")
-        encoder(path)  # refuses files whose pieces could be cut otherwise
+        read_spec(path)  # refuses files whose pieces could be cut otherwise
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = self.model.pre_tokenizer = None
         self.symbol = dict(enumerate(byte_symbols()))
@@ -92,10 +93,15 @@ class ChunkEncoder:
                 young[c] = array(code, e.ids).tobytes()
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """One per Python worker."""
+@lru_cache(maxsize=1)
+def _chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One per Python worker, as long as it does nothing else."""
+    claim("tokens", _chunk_encoder.cache_clear)
+    return _chunk_encoder(path)
+
+
 __all__ = ["ChunkEncoder", "chunk_encoder", "vocabulary_path"]

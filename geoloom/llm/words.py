@@ -57,6 +57,9 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a string column as one byte array, each followed by one line end; and each text's first place."""
     import pyarrow.compute as pc
 
+    from geoloom.llm.arrow import claim
+
+    claim("words")
     column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
