@@ -30,7 +30,7 @@ from geoloom.llm import arrow, words
 from geoloom.llm.language_id import held_out, keep_rows, sample_rows
 
 #: SUPPORT: share of the sampled texts that must hold a word or pair for it to have counts of its own (and at least LEAST of them).
-PER_CLASS, LONGEST, DISCOUNT, SUPPORT, LEAST = 3000, 1 << 16, 0.75, 0.01, 4
+PER_CLASS, LONGEST, DISCOUNT, SUPPORT, LEAST = 1500, 1 << 16, 0.75, 0.01, 4
 _FIRST, _RARE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
