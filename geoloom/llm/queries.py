@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, embedding_dedup, language_id, license_scan, media_columns, ngram_join, packing, token_shards, toxicity
+from geoloom.llm import bpe, embedding_dedup, language_id, license_scan, lm_mixing, media_columns, ngram_join, packing, token_shards, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), bpe.vocabulary_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -52,7 +56,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op5_lm_scoring, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
