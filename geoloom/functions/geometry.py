@@ -136,7 +136,8 @@ def interior_point(rings: Column | str) -> Column:
     y = (below + above) / 2
     cuts = F.filter(F.flatten(F.transform(r, _edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
     xs = F.array_sort(F.transform(cuts, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    spans = F.transform(F.sequence(F.lit(0), F.size(xs) / 2 - 1), lambda i: F.struct((F.get(xs, (2 * i + 1).cast("int")) - F.get(xs, (2 * i).cast("int"))).alias("w"), ((F.get(xs, (2 * i).cast("int")) + F.get(xs, (2 * i + 1).cast("int"))) / 2).alias("x")))
+    spans = F.transform(F.sequence(F.lit(0), (F.size(xs) / 2).cast("int") - 1), lambda i: F.struct((F.get(xs, (2 * i + 1).cast("int")) - F.get(xs, (2 * i).cast("int"))).alias("w"), ((F.get(xs, (2 * i).cast("int")) + F.get(xs, (2 * i + 1).cast("int"))) / 2).alias("x")))
+    # A sequence down to -1 would count backwards: without a cut there are no spans.
     return F.when(F.size(xs) >= 2, F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y")))
 
 

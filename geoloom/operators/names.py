@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geoloom.functions.text import GENERIC_STOPWORDS, neighbourhood_tokens, normalize_name, pattern_matches, sorted_canonical, strip_place, tokens
@@ -46,7 +47,7 @@ def set_ratio(a: str, b: str) -> float:
     return max([indel_ratio(*both), *short])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 

@@ -113,7 +113,8 @@ def frontier_distances(sources: DataFrame, graph: DataFrame, cutoff: float | Non
     best = sources.select(F.col("area_idx").cast("long"), F.col("node").cast("long"), F.lit(0.0).alias("metres"))
     changed = best
     for _ in range(most_rounds):
-        step = changed.join(graph, F.col("node") == F.col("src")).select("area_idx", F.col("dst").cast("long").alias("node"), (changed["metres"] + graph["metres"]).alias("metres"))
+        edges = graph.select("src", "dst", F.col("metres").alias("more"))
+        step = changed.join(edges, F.col("node") == F.col("src")).select("area_idx", F.col("dst").cast("long").alias("node"), (F.col("metres") + F.col("more")).alias("metres"))
         step = (step.where(F.col("metres") <= cutoff) if cutoff is not None else step).groupBy("area_idx", "node").agg(F.min("metres").alias("new"))
         joined = best.join(step, ["area_idx", "node"], "full").select("area_idx", "node", F.least("metres", "new").alias("metres"), (F.col("metres").isNull() | (F.col("new") < F.col("metres"))).alias("better"))
         joined = joined.checkpoint() if checkpoint else joined.persist()

@@ -43,8 +43,8 @@ def nearest_area(spark, d):
 
 @query(
     "area_summary",
-    oracle(f"""SELECT a.area_idx, a.name, coalesce(n, 0) AS buildings, coalesce(w, 0) AS weight_milli, coalesce(m, 0) AS mean_milli, coalesce(x, 0) AS max_milli, coalesce(o, 0) AS over_15 FROM f_areas a LEFT JOIN
-    (SELECT area_idx, count(*) AS n, CAST(round(sum(weight) * 1000) AS BIGINT) AS w, CAST(round(avg(CAST(minutes AS DOUBLE)) * 1000) AS BIGINT) AS m, CAST(round(CAST(max(minutes) AS DOUBLE) * 1000) AS BIGINT) AS x, count(*) FILTER (WHERE minutes > 15) AS o FROM ({_NEAREST}) GROUP BY area_idx) s ON a.area_idx = s.area_idx"""),
+    oracle(f"""SELECT a.area_idx, a.name, coalesce(n, 0) AS buildings, coalesce(w, 0) AS weight_milli, coalesce(m, 0) AS mean_milli, coalesce(mx, 0) AS max_milli, coalesce(o, 0) AS over_15 FROM f_areas a LEFT JOIN
+    (SELECT area_idx, count(*) AS n, CAST(round(sum(weight) * 1000) AS BIGINT) AS w, CAST(round(avg(CAST(minutes AS DOUBLE)) * 1000) AS BIGINT) AS m, CAST(round(CAST(max(minutes) AS DOUBLE) * 1000) AS BIGINT) AS mx, count(*) FILTER (WHERE minutes > 15) AS o FROM ({_NEAREST}) GROUP BY area_idx) s ON a.area_idx = s.area_idx"""),
 )
 def area_summary(spark, d):
     got = location.area_summary(_assigned(spark, d), view(spark, d, "f_areas"))
