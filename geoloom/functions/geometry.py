@@ -7,6 +7,7 @@ column arithmetic.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,11 @@ def to_wgs84(x: Column | str, y: Column | str, meridian: float = 27.0) -> Column
     return F.struct(F.degrees(phi).alias("lat"), (F.degrees(F.atan2(F.sinh(v), F.cos(u))) + F.lit(meridian)).alias("lon"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, as a lambda's variable: nested uses of a large expression don't multiply it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _edges(ring: Column) -> Column:
     """Array of (a, b) of consecutive points; the ring is closed if it isn't."""
     return F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
@@ -61,15 +67,14 @@ def _edges(ring: Column) -> Column:
 def clean_ring(ring: Column) -> Column:
     """Without nulls, repeated neighbours and the closing point; null with fewer than three points."""
     known = F.filter(ring, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    apart = F.filter(known, lambda p, i: (i == 0) | (p != F.get(known, i - 1)))
-    open_ = F.when((F.size(apart) > 1) & (F.get(apart, F.lit(0)) == F.element_at(apart, -1)), F.slice(apart, 1, F.size(apart) - 1)).otherwise(apart)
-    return F.when(F.size(open_) >= 3, open_)
+    apart = let(known, lambda k: F.filter(k, lambda p, i: (i == 0) | (p != F.get(k, i - 1))))
+    open_ = let(apart, lambda a: F.when((F.size(a) > 1) & (F.get(a, F.lit(0)) == F.element_at(a, -1)), F.slice(a, 1, F.size(a) - 1)).otherwise(a))
+    return let(open_, lambda r: F.when(F.size(r) >= 3, r))
 
 
 def clean_polygon(rings: Column | str) -> Column:
     """Repaired rings; null without any. Self-intersections stay and follow the even-odd rule."""
-    good = F.filter(F.transform(col(rings), clean_ring), lambda r: r.isNotNull())
-    return F.when(F.size(good) > 0, good)
+    return let(F.filter(F.transform(col(rings), clean_ring), lambda r: r.isNotNull()), lambda g: F.when(F.size(g) > 0, g))
 
 
 def _signed(ring: Column) -> Column:
@@ -129,16 +134,21 @@ def bounds(rings: Column | str) -> Column:
 def interior_point(rings: Column | str) -> Column:
     """Middle of the widest span of a horizontal line near half height; certain to lie inside a clean polygon."""
     r = col(rings)
-    ys = F.array_sort(F.array_distinct(F.transform(F.flatten(r), lambda p: p["y"])))
-    half = (F.array_min(ys) + F.array_max(ys)) / 2
-    below = F.array_max(F.filter(ys, lambda v: v <= half))
-    above = F.array_min(F.filter(ys, lambda v: v > half))
-    y = (below + above) / 2
-    cuts = F.filter(F.flatten(F.transform(r, _edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
-    xs = F.array_sort(F.transform(cuts, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    spans = F.transform(F.sequence(F.lit(0), (F.size(xs) / 2).cast("int") - 1), lambda i: F.struct((F.get(xs, (2 * i + 1).cast("int")) - F.get(xs, (2 * i).cast("int"))).alias("w"), ((F.get(xs, (2 * i).cast("int")) + F.get(xs, (2 * i + 1).cast("int"))) / 2).alias("x")))
-    # A sequence down to -1 would count backwards: without a cut there are no spans.
-    return F.when(F.size(xs) >= 2, F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y")))
+
+    def line(ys: Column) -> Column:
+        half = (F.array_min(ys) + F.array_max(ys)) / 2
+        return let(half, lambda h: (F.array_max(F.filter(ys, lambda v: v <= h)) + F.array_min(F.filter(ys, lambda v: v > h))) / 2)
+
+    def cut(y: Column) -> Column:
+        crossed = F.filter(F.flatten(F.transform(r, _edges)), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        return F.array_sort(F.transform(crossed, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+
+    def widest(xs: Column) -> Column:
+        pairs = F.filter(F.transform(xs, lambda x, i: F.struct((F.get(xs, i + 1) - x).alias("w"), ((x + F.get(xs, i + 1)) / 2).alias("x"), (i % 2).alias("odd"))), lambda s: (s["odd"] == 0) & s["w"].isNotNull())
+        return F.array_max(pairs)["x"]
+
+    heights = F.array_sort(F.array_distinct(F.transform(F.flatten(r), lambda p: p["y"])))
+    return let(let(heights, line), lambda y: let(let(cut(y), widest), lambda x: F.when(x.isNotNull(), F.struct(x.alias("x"), y.alias("y")))))
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

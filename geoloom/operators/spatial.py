@@ -38,7 +38,7 @@ def containing(points: DataFrame, polygons: DataFrame, point_id: str, cell: floa
     boundary).
     """
     cell = cell or cell_size(polygons)
-    p = points.withColumn("cx", F.floor(F.col("x") / F.lit(cell))).withColumn("cy", F.floor(F.col("y") / F.lit(cell)))
+    p = points.select(point_id, "x", "y").withColumn("cx", F.floor(F.col("x") / F.lit(cell))).withColumn("cy", F.floor(F.col("y") / F.lit(cell)))
     # A point on a cell's edge belongs to one cell, and a box that ends there touches this cell too.
     joined = p.join(with_cells(polygons, "rings", cell), ["cx", "cy"]).drop("cx", "cy")
     edge = geo.on_boundary(F.col("x"), F.col("y"), F.col("rings"))
@@ -139,7 +139,8 @@ def drop_duplicate_features(features: DataFrame, order: list[str]) -> DataFrame:
 
 def enrich(features: DataFrame, feature_id: str, polygons: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Fixed order: clean geometry, point, area with provenance, neighbourhood with status. Coordinates in metres: x, y, rings."""
-    clean = features.withColumn("rings", geo.clean_polygon("rings")).withColumn("_p", geo.interior_point("rings"))
+    # Generated columns are computed once, whatever is filtered and joined on them later.
+    clean = features.select(*[c for c in features.columns if c != "rings"], F.explode(F.array(geo.clean_polygon("rings"))).alias("rings")).select("*", F.explode(F.array(geo.interior_point("rings"))).alias("_p"))
     clean = clean.withColumn("x", F.coalesce(F.col("_p.x"), "x")).withColumn("y", F.coalesce(F.col("_p.y"), "y")).drop("_p").where("x is not null")
     sized = add_footprint(clean, feature_id, overlay=clean.where("rings is not null").select(F.col(feature_id).alias("poly_id"), F.col(feature_id).alias("poly_ord"), "rings"))
     back = geo.to_wgs84("x", "y")
