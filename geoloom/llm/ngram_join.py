@@ -285,7 +285,7 @@ def _compare(percent: int, nearest: bool):
             left = _fold(np.frombuffer(b"".join(group[x][7] for x in short), np.uint8).reshape(len(short), -1), size).view(np.uint64)
             right = np.concatenate([_fold(np.frombuffer(b"".join(group[x][7] for x in all_ if length[x] == big), np.uint8).reshape(-1, big), size) for big in np.unique(length[all_])]).view(np.uint64)
             all_ = np.concatenate([all_[length[all_] == big] for big in np.unique(length[all_])])
-            step = max(1, (1 << 22) // (right.size or 1))
+            step = max(1, (1 << 20) // (len(all_) * max(right.shape[1], 4)))  # bounds the arrays of pairs below
             for at in range(0, len(short), step):
                 x = short[at : at + step]
                 total = n[x][:, None] + n[all_][None, :]
