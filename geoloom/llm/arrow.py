@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,6 +30,11 @@ def claim(owner: str, release: Callable[[], None] | None = None) -> None:
         for _, free in _holder:
             if free:
                 free()
+        if _holder:  # what is freed goes back to the system, where its C library can do that
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
         _holder[:] = [(owner, release)]
 
 
