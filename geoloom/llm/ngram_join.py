@@ -117,8 +117,8 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_SCAN = "kind int, doc_id long, n long, f1 long, f2 long, sketch binary, part int, keys binary, ids binary"
-_SCAN_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+_SCAN = "kind int, doc_id long, n long, f1 long, f2 long, sketch binary, part int, keys binary, ids binary, hot binary"
+_SCAN_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("hot", pa.binary())])
 
 
 def _rows(count: int, /, **columns) -> pa.RecordBatch:
@@ -126,7 +126,10 @@ def _rows(count: int, /, **columns) -> pa.RecordBatch:
 
 
 def _deal(keys: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Keys and ids by part; of a key that many sets here share, one member goes on and the others link to it (kind 2)."""
+    """Keys and ids by part; of a key that many sets here share, one member goes on and the others link to it (kind 2).
+
+    `hot` holds the places of members that stand for others.
+    """
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -136,11 +139,12 @@ def _deal(keys: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[pa.RecordBa
     extra = (size[run] >= HOT) & ~new
     if extra.any():
         yield _rows(1, kind=[2], keys=[keys[extra].tobytes()], ids=[np.stack([ids[at[run[extra]]], ids[extra]]).tobytes()])
+    stands = ((size[run] >= HOT) & new)[~extra]
     keys, ids = keys[~extra], ids[~extra]
     part = (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
     pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-    yield _rows(len(pairs), kind=np.ones(len(pairs), np.int32), part=part[edge[:-1]].astype(np.int32), keys=[keys[a:b].tobytes() for a, b in pairs], ids=[ids[a:b].tobytes() for a, b in pairs])
+    yield _rows(len(pairs), kind=np.ones(len(pairs), np.int32), part=part[edge[:-1]].astype(np.int32), keys=[keys[a:b].tobytes() for a, b in pairs], ids=[ids[a:b].tobytes() for a, b in pairs], hot=[np.flatnonzero(stands[a:b]).astype(np.int32).tobytes() for a, b in pairs])
 
 
 def _scan(width: int, percent: int, parts: int):
@@ -191,12 +195,13 @@ _STAR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("
 
 def _buckets(batches):
     """Rows sorted by part. For each key with several ids: its smallest id with each other one."""
-    part, keys, ids = None, [], []
+    part, keys, ids, stands = None, [], [], []
 
     def stars():
-        k, d = np.concatenate(keys), np.concatenate(ids)
+        k, d, s = np.concatenate(keys), np.concatenate(ids), np.concatenate(stands)
         order = np.lexsort((d, k))
-        k, d = k[order], d[order]
+        k, d, s = k[order], d[order], s[order]
+        hidden = np.maximum.reduceat(s, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
         keep = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
         k, d = k[keep], d[keep]
         new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -205,19 +210,22 @@ def _buckets(batches):
         run = np.repeat(np.arange(len(at)), size)
         rest = np.flatnonzero(~new)
         if len(rest):
-            a, b, more = d[at[run[rest]]], d[rest], size[run[rest]] > 2
-            # A bucket of two needs no key: it is one pair, and the same pair is found in many of them.
+            a, b, more = d[at[run[rest]]], d[rest], (size[run[rest]] > 2) | hidden[run[rest]]
+            # A bucket of two needs no key: it is one pair, and the same pair is found in many of them. Where one of the
+            # two stands for others, the key leads the other one to these.
             pairs = np.unique(np.stack([a[~more], b[~more]]), axis=1)
             yield arrow.table(_STAR, key=np.concatenate([np.zeros(pairs.shape[1], np.int64), k[rest][more].view(np.int64)]), a=np.concatenate([pairs[0], a[more]]), b=np.concatenate([pairs[1], b[more]]), more=np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(int(more.sum()), bool)]))
 
     for batch in batches:
-        for p, k, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for p, k, d, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p != part and keys:
                 yield from stars()
-                keys, ids = [], []
+                keys, ids, stands = [], [], []
             part = p
             keys.append(np.frombuffer(k, np.uint64))
             ids.append(np.frombuffer(d, np.int64))
+            stands.append(np.zeros(len(ids[-1]), bool))
+            stands[-1][np.frombuffer(h, np.int32)] = True
     if keys:
         yield from stars()
 
@@ -362,7 +370,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs, stash, say = arrow.documents(df, id_col, text_col), arrow.Stash(spark, "ngram-join"), log or (lambda *x: None)
     parts = arrow.partitions(spark) * PARTS
     scan = stash.keep(docs.mapInArrow(_scan(width, percent, parts), _SCAN), "scan")
-    dealt = scan.where("kind = 1").select("part", "keys", "ids").repartition(arrow.partitions(spark), "part").sortWithinPartitions("part")
+    dealt = scan.where("kind = 1").select("part", "keys", "ids", "hot").repartition(arrow.partitions(spark), "part").sortWithinPartitions("part")
     star = "key long, a long, b long, more boolean"
     stars = stash.keep(dealt.mapInArrow(_buckets, star).unionByName(scan.where("kind = 2").select("keys", "ids").mapInArrow(_local_stars, star)), "stars")
     about = stash.keep(scan.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch"), "about")

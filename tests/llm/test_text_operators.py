@@ -90,6 +90,16 @@ def test_ngram_join_splits_large_buckets(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, 4, 85)
 
 
+def test_ngram_join_hot_key_meets_one_outsider(spark):
+    """The outsider links with the last of eight sets only, and all keys these two share are held by all eight."""
+    rows = [(i, f"w0 w1 w2 x{k}") for i, k in enumerate((1, 3, 5, 8, 13, 14, 17, 0))] + [(100, "o7 w1 w2 x0")]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize([rows[:-1], rows[-1:]], 2).flatMap(lambda x: x), "doc_id long, text string")
+    want = brute_classes(rows, 1, 60)
+    assert all(component == 0 for _, _, component in want)
+    got = ngram_join.similar_classes(frame, width=1, percent=60).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_ngram_join_empty(empty):
     assert ngram_join.similar_classes(empty).collect() == []
 
