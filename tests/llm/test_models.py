@@ -70,6 +70,25 @@ def test_lm_bits_are_a_code():
     assert np.allclose(2.0 ** -lm_mixing._COST.astype(float) + 2.0 ** -lm_mixing._COST[::-1].astype(float), 1, atol=1e-5)
 
 
+def test_lm_contexts_are_causal():
+    text = np.frombuffer(b"the cat, don't 12\0on it.\0", np.uint8)
+    start = np.array([0, 18])
+    want = lm_mixing.contexts(text, start)
+    for i in range(len(text)):
+        for byte in b"a .\0":
+            other = text.copy()
+            other[i] = byte
+            assert all((x[: i + 1] == y[: i + 1]).all() for x, y in zip(want, lm_mixing.contexts(other, start), strict=True))
+
+
+def test_lm_next_bytes_add_up_to_one():
+    tables = np.random.default_rng(1).normal(0, 1, (lm_mixing.INPUTS, 1 << lm_mixing.SLOT_BITS)).astype(np.float32)
+    for text in (b"the", b"the ", b"on the ca"):
+        before = lm_mixing.total_bits(np.frombuffer(text, np.uint8), np.array([0]), tables)
+        after = np.array([lm_mixing.total_bits(np.frombuffer(text + bytes([b]), np.uint8), np.array([0]), tables)[0] for b in range(256)])
+        assert abs((2.0 ** (before - after)).sum() - 1) < 0.02
+
+
 def test_lm_cost_depends_on_the_text_alone():
     rnd = np.random.default_rng(0)
     texts = [bytes(rnd.integers(97, 101, n, dtype=np.uint8)) + b"\0" for n in (5, 3000, 700, 0)]
