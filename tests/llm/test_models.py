@@ -70,6 +70,21 @@ def test_lm_bits_are_a_code():
     assert np.allclose(2.0 ** -lm_mixing._COST.astype(float) + 2.0 ** -lm_mixing._COST[::-1].astype(float), 1, atol=1e-5)
 
 
+def test_lm_tables_grow_with_the_input(docs, monkeypatch):
+    sizes = [lm_mixing.slot_bits(n) for n in (0, 10**8, 10**9, 10**10)]
+    assert sizes[0] == lm_mixing.SLOT_BITS and sizes == sorted(sizes) and sizes[2] < sizes[3]
+    assert all(lm_mixing.DENSITY << b >= n for b, n in zip(sizes, (0, 10**8, 10**9, 10**10), strict=True))
+    made = []
+    plain = lm_mixing._scan
+    monkeypatch.setattr(lm_mixing, "SLOT_BITS", 14)
+    monkeypatch.setattr(lm_mixing, "_scan", lambda parts, shared: made.append(shared.value[2]) or plain(parts, shared))
+    lm_mixing.score_texts(docs, density=1 << 30).count()
+    lm_mixing.score_texts(docs, density=1).count()
+    small, large = made
+    assert small.shape == (lm_mixing.INPUTS, 1 << lm_mixing.SLOT_BITS) and large.shape[1] > small.shape[1]
+    assert (large != 0).sum() > (small != 0).sum()
+
+
 def test_lm_contexts_are_causal():
     text = np.frombuffer(b"the cat, don't 12\0on it.\0", np.uint8)
     start = np.array([0, 18])
