@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, and those that resemble no language (a score under 0.2), go."""
-    return language_id.known_language(docs, language_id.train(docs), least=0.2)
+    """Documents without any letter, and those that resemble no language (a certainty under 0.35, see `known_language`), go."""
+    return language_id.known_language(docs, language_id.train(docs), least=0.35)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,11 @@ def predict_batch(model: Model | None, batch: pa.RecordBatch) -> tuple[list[str]
     return [model.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], score
 
 
+def certainty(score: np.ndarray, languages: int) -> np.ndarray:
+    """Scores as shares of the way from 1/languages to 1."""
+    return np.maximum((score * languages - 1) / (languages - 1), 0) if languages > 1 else np.ones(len(score))
+
+
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size depends on the parameters above only
@@ -162,11 +167,15 @@ def keep_rows(df: DataFrame, keep, text_col: str = "text") -> DataFrame:
 
 
 def known_language(df: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of df, with all their columns, whose language is known with at least the score `least`."""
+    """The rows of df, with all their columns, whose language is known with at least the certainty `least`.
+
+    Decisions for L languages add up to 2 - L for every text, so the best score is never under 1/L. Certainty is the share of
+    the way from there to 1: 0 for a text that resembles all languages alike. With a single language all texts with a letter have 1.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch):
         language, score = predict_batch(shared.value, batch)
-        return [v != "und" and s >= least for v, s in zip(language, score, strict=True)]
+        return [v != "und" and c >= least for v, c in zip(language, certainty(score, len(shared.value.languages)), strict=True)]
 
     return keep_rows(df, keep, text_col) if model is not None else df

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from geoloom.llm import embedding_dedup, language_id, lm_mixing, toxicity, words
 
 
@@ -127,6 +128,18 @@ def test_language(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
 
 
+def test_pipeline_drops_texts_in_no_language(spark, docs, rows):
+    rnd = random.Random(6)
+    letters = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    nonsense = [" ".join(str(rnd.randint(0, 10**6)) for _ in range(40)) + " a", " ".join(letters() for _ in range(60)), "Этот язык модели не известен и должен уйти"]
+    # Without the one text of a single repeated word: what a model of a few short texts learns from it spills over to all others.
+    mixed = docs.where("doc_id is null or doc_id <> 403").unionByName(spark.createDataFrame([(1000 + i, t, None, None) for i, t in enumerate(nonsense)], docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, mixed, "").collect()}
+    assert sorted(kept & {1000, 1001, 1002, 400, 401, 402}) == []
+    clean = [i for i, *_ in rows if i is not None and i < 400 and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(clean) > 40 and np.mean([i in kept for i in clean]) > 0.97
+
+
 def test_presences_count_no_gram_across_texts():
     data = np.frombuffer(b"ab\nab\nb\n\n", np.uint8)
     x = language_id.presences(data, np.array([0, 3, 6, 8]))
