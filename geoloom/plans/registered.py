@@ -399,14 +399,14 @@ def top_capacities(spark, d):
 def name_lookup(spark, d):
     features = view(spark, d, "f_features")
     pool = names.candidates(features, "id", F.array("name"))
-    inputs = features.where("id % 37 = 0").select(F.col("id").alias("input_row"), F.col("name").alias("raw_name"))
+    inputs = features.select(F.col("id").alias("input_row"), F.col("name").alias("raw_name"))
     return names.match_names(inputs, "raw_name", "input_row", pool)
 
 
 @query("category_detection")
 def category_detection(spark, d):
     patterns = names.pattern_table(spark, registry.name_patterns())
-    inputs = spark.createDataFrame([(1, "Atatürk İlkokulu"), (2, "Şifa Eczanesi"), (3, "Maçka Parkı"), (4, "Kurşunoğlu"), (5, "Özel Anka Tıp Merkezi")], "k long, name string")
+    inputs = view(spark, d, "f_features").select(F.col("id").alias("k"), "name")
     return names.detect_category(inputs, "name", patterns, registry.UMBRELLAS, "k")
 
 
@@ -421,8 +421,7 @@ def graph_health(spark, d):
 
 @query("p_median")
 def p_median(spark, d):
-    b, a = view(spark, d, "f_buildings").where("building_idx < 200"), view(spark, d, "f_areas").where("area_idx < 12")
-    got = pipelines.place_areas(b, a, 4)
+    got = pipelines.place_areas(view(spark, d, "f_buildings"), view(spark, d, "f_areas"), 4)
     return got.summary.select("area_idx", "buildings", milli("mean_minutes").alias("mean_milli"))
 
 
