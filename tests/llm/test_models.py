@@ -105,6 +105,16 @@ def test_lm_next_bytes_add_up_to_one():
         assert abs((2.0 ** (before - after)).sum() - 1) < 0.02
 
 
+def test_lm_weights_are_refined_within_short_texts(monkeypatch):
+    data, start = np.frombuffer(b"the cat sat on the mat, " * 12 + b"\0", np.uint8), np.array([0])
+    counts = np.zeros((lm_mixing.INPUTS, 2 << lm_mixing.SLOT_BITS), np.uint32)
+    lm_mixing.count_bits(data, start, counts)
+    tables = lm_mixing.stretched(counts)
+    refined = lm_mixing.total_bits(data, start, tables)[0]
+    monkeypatch.setattr(lm_mixing, "RATE", 0.0)
+    assert refined < 0.99 * lm_mixing.total_bits(data, start, tables)[0]
+
+
 def test_lm_cost_depends_on_the_text_alone():
     rnd = np.random.default_rng(0)
     texts = [bytes(rnd.integers(97, 101, n, dtype=np.uint8)) + b"\0" for n in (5, 3000, 700, 0)]
