@@ -6,7 +6,8 @@ hash is replaced by the second nearest axis. Vectors that share a key are compar
 double precision, and only pairs that reach the threshold are links.
 
 Equal vectors of one label form a class first, so copies are compared once and never expanded. A pair of classes counts in the
-first table and key that they share. Links are counted and spanned by a forest where they are found; pairs aren't
+first table in which they share keys, at the smallest key that they share there, so that neither its order nor that of its bucket's rows
+matters. Links are counted and spanned by a forest where they are found; pairs aren't
 emitted. Large buckets are split into pairs of blocks.
 
 A vector that is null, zero, or holds null or non-finite components, one without a label and one without an id link with nothing; the
@@ -25,6 +26,8 @@ from geoloom.llm import arrow
 from geoloom.llm.components import components
 
 TABLES, HASHES, BLOCK, SEED = 10, 2, 1024, 7
+#: Linked pairs whose keys are compared at once.
+PAIRS = 1 << 17
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,18 +133,20 @@ def _links(threshold: float):
         if not linked.any():
             return None
         keys = np.array([y[7] for y in group], np.int64).reshape(len(group), -1, probes)
-        r, c = np.nonzero(np.triu(linked))
+        left, right = np.nonzero(np.triu(linked))
         count = np.zeros(len(group), np.int64)
-        for t in range(keys.shape[1]):
-            if not len(r):
-                break
-            same = (keys[r, t][:, :, None] == keys[c, t][:, None, :]).any(axis=2)
-            common = same.any(axis=1)
-            first = keys[r, t][np.arange(len(r)), same.argmax(axis=1)]
-            mine = common & (first == key)
-            np.add.at(count, r[mine], copies[c[mine]])
-            np.add.at(count, c[mine], copies[r[mine]])
-            r, c = r[~common], c[~common]
+        for at in range(0, len(left), PAIRS):
+            r, c = left[at : at + PAIRS], right[at : at + PAIRS]
+            for t in range(keys.shape[1]):
+                if not len(r):
+                    break
+                same = (keys[r, t][:, :, None] == keys[c, t][:, None, :]).any(axis=2)
+                common = same.any(axis=1)
+                least = np.where(same, keys[r, t], np.iinfo(np.int64).max).min(axis=1)
+                mine = common & (least == key)
+                np.add.at(count, r[mine], copies[c[mine]])
+                np.add.at(count, c[mine], copies[r[mine]])
+                r, c = r[~common], c[~common]
         edges, some = _forest(linked), np.flatnonzero(count)
         return arrow.table(_FOUND, a=[*rep[some].tolist(), *(int(rep[a]) for a, _ in edges)], b=pa.array([*[None] * len(some), *(int(rep[b]) for _, b in edges)], pa.int64()), count=pa.array([*count[some].tolist(), *[None] * len(edges)], pa.int64()))
 
@@ -178,7 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     member = single.join(shared, "key").join(keyed, "rep").join(classes.select("rep", "copies", "label", "vec"), "rep")
     member = member.withColumn("salt", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = member.select("key", F.expr("least(salt, other)").alias("i"), F.expr("greatest(salt, other)").alias("j"), "rep", "copies", "salt", "vec", "keys", "label")
-    dealt = dealt.repartition(arrow.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.repartition(arrow.partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     found = stash.keep(dealt.mapInArrow(_links(threshold), "a long, b long, count long"), "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("count").alias("links"))
     of = components(found.where("b is not null").select("a", "b"), stash)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -207,6 +208,45 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_links_do_not_depend_on_the_order_of_rows():
+    """Pairs whose own and second keys are swapped meet in two buckets; each link counts once, whatever order each bucket has."""
+    rnd = np.random.default_rng(5)
+    checked = 0
+    for _ in range(40):
+        centre = rnd.normal(size=16)
+        x = np.stack([centre + rnd.normal(size=16) * 0.04 for _ in range(6)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        keys = embedding_dedup.probe_keys(x, np.zeros(6, np.int64)).reshape(6, -1)
+        want = (x @ x.T >= 0.98).sum(axis=1) - 1
+        count = np.zeros(6, int)
+        for key in np.unique(keys):
+            members = [i for i in range(6) if key in keys[i]]
+            rnd.shuffle(members)
+            if len(members) < 2:
+                continue
+            columns = zip(*[(int(key), 0, 0, i, 1, 0, x[i].tolist(), keys[i].tolist(), 0) for i in members])
+            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "i", "j", "rep", "copies", "salt", "vec", "keys", "label"])
+            for out in embedding_dedup._links(0.98)([batch]):
+                for a, b, n in zip(*(c.to_pylist() for c in out.columns)):
+                    if b is None:
+                        count[a] += n
+        assert (count == want).all()
+        checked += want.sum()
+    assert checked > 400
+
+
+@pytest.mark.parametrize("width", [16, 64, 256])
+def test_pairs_at_the_threshold_share_a_key(width):
+    rnd = np.random.default_rng(width)
+    a = rnd.normal(size=(600, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rnd.normal(size=(600, width))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9801 * a + math.sqrt(1 - 0.9801**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (embedding_dedup.probe_keys(v, np.zeros(600, np.int64)).reshape(600, -1) for v in (a, b))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]) >= 0.999
+
+
 def test_hadamard_is_orthogonal():
     h = embedding_dedup.hadamard(np.eye(16))
     assert (h @ h.T == 16 * np.eye(16)).all()
