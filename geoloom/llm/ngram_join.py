@@ -6,8 +6,9 @@ For a band whose largest size allows d differences, shingles are dealt into d +
 XOR of its shingles' hashes. At most d cells can differ, so two similar sets agree in at least one (pigeonhole), and
 this agreement is an equi-join. A set also joins the bands of the larger sets it can be similar to. A cell without
 shingles would join all sets that leave it empty, so it is joined together with a second, independent dealing, where
-again one cell must agree; with more than DENSE cells, where over a third of them agree even at the limit, pairs that agree in
-empty cells only have a chance under 1e-10 and empty cells are left out.
+again one cell must agree. With many cells a third or more of them agree even at the limit, and nearly all of these hold shingles: where the
+chance that a pair at the limit agrees in empty cells only (`blind`) is under BLIND, about that of a collision of two 64-bit
+hashes, empty cells are left out.
 
 Sets that agree are candidates. A second parity sketch of about one bit per shingle bounds the symmetric difference from
 below by its Hamming distance and drops most wrong candidates; the rest are verified with the whole sets.
@@ -35,8 +36,8 @@ from geoloom.llm.components import components
 
 #: Ratio of the largest to the smallest size of a band.
 RATIO = 1.4
-#: Up to this many cells, empty cells are joined through a second dealing.
-DENSE = 32
+#: Empty cells are joined through a second dealing unless a pair at the limit agrees in these alone with a smaller chance.
+BLIND = 1e-15
 #: Parts per shuffle partition into which keys are dealt, each sorted on its own in a worker's memory.
 PARTS = 8
 #: Keys that a worker gathers before it deals them out.
@@ -54,15 +55,31 @@ def most_different(total: int, percent: int) -> int:
     return max(0, *(s - 2 * -(-percent * s // (100 + percent)) for s in range(max(0, total - 3), total + 1)))
 
 
-def size_bands(largest: int, percent: int, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, cells) of each band up to the one that holds `largest`."""
-    out, low = [], 1
+def blind(cells: int, different: int, common: int) -> float:
+    """Bound on the chance that no cell without any of the `different` shingles has one of the `common` ones.
+
+    The shingles fall into cells at random; occupied[m] is the chance that the different ones lie in m cells.
+    """
+    occupied, m = np.zeros(cells + 1), np.arange(cells + 1)
+    occupied[0] = 1
+    for _ in range(different):
+        stay, move = occupied * m / cells, occupied * (cells - m) / cells
+        occupied = stay + np.append(0, move[:-1])
+    return float((occupied * ((1 - 1 / cells) ** common) ** (cells - m)).sum())
+
+
+def size_bands(largest: int, percent: int, ratio: float = RATIO) -> list[tuple[int, int, int, bool]]:
+    """(smallest size, largest size, cells, whether empty cells count) of each band up to the one that holds `largest`."""
+    out, low, dense = [], 1, True
     while low <= largest:
         high = low
         while most_different(2 * (high + 1), percent) == 0:
             high += 1
         high = max(high, int(low * ratio))
-        out.append((low, high, most_different(2 * high, percent) + 1))
+        cells = most_different(2 * high, percent) + 1
+        # It falls with the size, so that one band of several cells that is under the limit decides for all larger ones.
+        dense = dense and (cells == 1 or max(blind(cells, d, n - d // 2) for n in (low, high) for d in (most_different(2 * n, percent),)) > BLIND)
+        out.append((low, high, cells, dense))
         low = high + 1
     return out
 
@@ -84,14 +101,14 @@ def _cells(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return cell[at], np.bitwise_xor.reduceat(hashes, at)
 
 
-def band_keys(hashes: np.ndarray, number: int, cells: int) -> np.ndarray:
+def band_keys(hashes: np.ndarray, number: int, cells: int, dense: bool) -> np.ndarray:
     """Join keys of one set for one size band."""
     salt = words.mix(np.array([number * 2 + 1], np.uint64))
     if cells == 1:
         return words.mix(np.bitwise_xor.reduce(hashes, keepdims=True) ^ salt)
     cell, value = _cells(hashes, cells)
     keys = words.mix(value ^ words.mix(cell + salt))
-    if cells > DENSE or len(cell) == cells:
+    if not dense or len(cell) == cells:
         return keys
     empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), cell)
     other = np.zeros(cells, np.uint64)
@@ -154,7 +171,7 @@ def _scan(width: int, percent: int, parts: int):
         n, reach = len(hashes), 100 * len(hashes) // percent
         if bands[0][-1][1] < reach:
             bands[0] = size_bands(2 * reach, percent)
-        return [band_keys(hashes, b, cells) for b, (low, high, cells) in enumerate(bands[0]) if low <= reach and high >= n]
+        return [band_keys(hashes, b, cells, dense) for b, (low, high, cells, dense) in enumerate(bands[0]) if low <= reach and high >= n]
 
     def run(batches):
         keys: list[np.ndarray] = []

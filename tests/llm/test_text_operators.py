@@ -115,10 +115,44 @@ def test_bands_keep_every_pair_at_the_limit():
                 most = ngram_join.most_different(2 * n, percent) // 2
                 b = np.concatenate([a[: n - most], rnd.integers(0, 1 << 63, most, dtype=np.uint64)])
                 k = next(i for i, x in enumerate(bands) if x[0] <= n <= x[1])
-                x, y = (ngram_join.band_keys(np.unique(s), k, bands[k][2]) for s in (a, b))
+                x, y = (ngram_join.band_keys(np.unique(s), k, *bands[k][2:]) for s in (a, b))
                 assert len(np.intersect1d(x, y)) or len(np.unique(b)) < n
 
 
+def test_few_pairs_could_agree_in_empty_cells_only():
+    """Where empty cells are left out, chance is bounded; it falls with the size, and the bound holds in a simulation."""
+    for percent in (60, 70, 80, 85):
+        worst = []
+        for low, high, cells, dense in ngram_join.size_bands(2000, percent):
+            found = max(ngram_join.blind(cells, d, n - d // 2) for n in (low, high) for d in [ngram_join.most_different(2 * n, percent)])
+            assert dense or found <= ngram_join.BLIND
+            worst.append(found)
+        late = worst[-8:]
+        assert late == sorted(late, reverse=True)
+    rnd = np.random.default_rng(8)
+    missed = 0
+    for _ in range(4000):
+        differ, common = np.unique(rnd.integers(0, 6, 5)), np.unique(rnd.integers(0, 6, 7))
+        missed += not len(np.setdiff1d(common, differ))
+    assert missed / 4000 <= 1.1 * ngram_join.blind(6, 5, 7)
+
+
+@pytest.mark.parametrize("parts,width,percent", [(2, 4, 85), (7, 1, 70)])
+def test_ngram_join_of_short_texts_on_several_partitions(spark, parts, width, percent, monkeypatch):
+    """Few words and many shared keys: what one worker gathers must meet what others do, however rows are dealt."""
+    monkeypatch.setattr(ngram_join, "GATHER", 150)
+    rnd = random.Random(parts)
+    rows = []
+    for i in range(220):
+        n = rnd.choice([1, 2, 3, 4, 5, 9, 10, 11])
+        rows.append((i, " ".join(rnd.choice(["w", "x", "y"] if rnd.random() < 0.1 else [f"w{k}"]) for k in range(n))))
+    rows += [(500 + k, f"filler {k} same words for all of these rows") for k in range(12)] + [(50_000, "a b c d e f g h i"), (400, "a b c d e f g h i j")]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    got = ngram_join.similar_classes(frame, width=width, percent=percent).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, width, percent)
+
+
 def test_sketch_distance_bounds_the_difference():
     rnd = np.random.default_rng(1)
     for n, m in ((5, 9), (60, 70), (500, 900)):
