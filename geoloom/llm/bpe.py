@@ -1,8 +1,10 @@
 """Exact byte-pair encoding and decoding by dynamic programming over prefixes.
 
 A text falls into pieces that no merge crosses. For a piece, `PrefixEncoder` keeps for each prefix the one token with
-which that prefix's encoding ends. An automaton over all tokens reads the piece once and reports the tokens that end
-at each place, the longest first; the first one that is compatible with the last token of the prefix before it is the
+which that prefix's encoding ends. An automaton reads the piece once: its state is the longest suffix read so far that some token
+begins with, and it reports all tokens that are suffixes of the prefix, the longest first (the automaton of the vocabulary's
+strings, built once, stands for one of each piece's own suffixes, which would be built anew for every piece and matched against the
+vocabulary for the same list); the first one that is compatible with the last token of the prefix before it is the
 answer for this prefix. Two tokens are compatible if encoding their joined strings gives just these two back, which is
 decided by undoing their merges, the later one first, and looking for an earlier merge across the seam. Back-pointers
 from the last prefix then give the ids.
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from geoloom.llm import arrow
 
-#: Distinct white-space-delimited chunks that a Python worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Bytes, about, that each of the two generations of each of a Python worker's memos takes.
+REMEMBERED = 64 << 20
+#: Chunks and pieces over this many characters aren't remembered.
+LONG = 64
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,20 +42,23 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Remembered(dict):
-    """A bounded memo: when the young generation is full it becomes the old one; what is still asked for moves back."""
+    """A memo bounded in bytes: when the young generation is full it becomes the old one; what is still asked for moves back."""
 
-    def __init__(self, make: Callable, most: int = REMEMBERED) -> None:
+    def __init__(self, make: Callable, size: Callable, most: int = REMEMBERED) -> None:
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.size, self.most, self.held, self.old = make, size, most, 0, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if len(key) > LONG:
+            return got
+        if self.held >= self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = got
+        self.held += self.size(got) + len(key)
         return got
 
 
@@ -117,8 +124,8 @@ class PrefixEncoder:
                 at_end = string.endswith(self.end) and string != self.end
                 self.automaton.add_word(string[: -len(self.end)] + "\0" if at_end else string, (len(string) - len(self.end) if at_end else len(string), at_end, i))
         self.automaton.make_automaton()
-        self.piece = Remembered(self._piece)
-        self.chunk = Remembered(self._chunk)
+        self.piece = Remembered(self._piece, lambda x: 200 + 8 * len(x))
+        self.chunk = Remembered(self._chunk, lambda x: 320 + len(x[0]) + len(x[1]))
 
     def _whole(self, token: int) -> bool:
         """Whether merging this token's own string gives the token: its two parts must not merge in another way first."""
@@ -196,7 +203,7 @@ class PrefixEncoder:
                 ids.append(self.special[part])
             elif part:
                 for piece in self.pieces(part):
-                    ids += self.piece[piece] if len(piece) < 64 else self._piece(piece)
+                    ids += self.piece[piece]
         return " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids)
 
     def encode(self, text: str | None) -> list[int]:
