@@ -4,13 +4,17 @@ Documents are encoded, end with one end id and are cut only if they are longer t
 sequence alone. The other pieces are planned by length alone, so the plan's size depends on the capacity and not on the
 number of documents:
 
-1. Linear grouping: large lengths, in descending order, form groups of equal cardinality, and each length is rounded up to its
-   group's largest.
+1. Linear grouping: large lengths (over the capacity over a cut), in descending order, form groups of equal cardinality, and each
+   length is rounded up to its group's largest.
 2. Configurations of these few sizes are optimised by column generation (a simplex over patterns, priced by a knapsack) and used as often
    as the solution's whole part says.
 3. Actual lengths are substituted for the rounded ones, the smallest of each configuration excepted: its place and the
-   room that rounding has left are one.
-4. What is left of the large lengths and then the small ones go, in descending order, where they fit best.
+   room that rounding has left are one, which what is left of the large lengths shares out again by best fit.
+4. The small lengths go, in descending order, where they fit best.
+
+CUTS gives the cuts and numbers of groups of which the one that needs the fewest sequences is taken. An eighth of the capacity suits
+tables of a few lengths that fill sequences together. Where lengths are spread, its configurations fill sequences so tightly that what they leave is
+too little for any document (0.2 % over the volume's bound on the test tables), and a third needs 0.01 % over the bound at most.
 
 The plan maps (length, rank among the pieces of this length) to (sequence, offset). Ranks are counted per lane and length, and a
 lane holds a bounded share of the rows, so that no length, however frequent, is ranked in one task.
@@ -34,7 +38,8 @@ from pyspark.sql.window import Window
 from geoloom.llm import arrow
 from geoloom.llm.tokens import chunk_encoder, vocabulary_path
 
-GROUPS = 120
+#: (what the capacity is divided by to part small from large lengths, groups)
+CUTS = ((3, 120), (8, 60))
 
 
 def _best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -90,13 +95,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 class Plan:
     """Placements (length, first rank, number, first sequence, offset) of a histogram of lengths."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: int | None = None) -> None:
+    def __init__(self, histogram: dict[int, int], capacity: int, cut: int, groups: int) -> None:
         self.capacity, self.placements, self.sequences = capacity, [], 0
         self.left, self.rank = Counter({k: v for k, v in histogram.items() if v}), Counter()
         self.open: dict[int, list[tuple[int, int]]] = {}  # room -> runs of (first sequence, number) filled alike
         self.rooms: list[int] = []
-        small = capacity // 8 if small is None else small
-        if large := sorted((x for x in self.left if x > small), reverse=True):
+        if large := sorted((x for x in self.left if x > capacity // cut), reverse=True):
             self._group(large, groups)
         for length in sorted(self.left, reverse=True):
             self._best_fit(length)
@@ -128,8 +132,6 @@ class Plan:
                 count, rest = count + take, rest - take
         sizes = sorted(rounded, reverse=True)
         for pattern, uses in configurations(sizes, [sum(rounded[s].values()) for s in sizes], self.capacity):
-            if sum(pattern) <= 2:  # descending best fit pairs lengths as well as can be
-                continue
             # The smallest one's place goes to what fits best there.
             pattern[max(g for g, k in enumerate(pattern) if k)] -= 1
             slots = [s for s, k in zip(sizes, pattern, strict=True) for _ in range(k)]
@@ -185,9 +187,8 @@ class Plan:
             self._put_open(room - length, sequence, take)
 
 
-def fewest(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> Plan:
-    """The plan with configurations, unless best fit without any of them needs fewer sequences."""
-    return min((Plan(histogram, capacity, groups), Plan(histogram, capacity, groups, small=capacity)), key=lambda p: p.sequences)
+def best_plan(histogram: dict[int, int], capacity: int, cuts: tuple[tuple[int, int], ...] = CUTS) -> Plan:
+    return min((Plan(histogram, capacity, *c) for c in cuts), key=lambda p: p.sequences)
 
 
 def document_pieces(df: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", lanes: int = 64, with_ids: bool = False) -> DataFrame:
@@ -214,12 +215,12 @@ def document_pieces(df: DataFrame, path: str | None = None, capacity: int = 2048
     return arrow.documents(df, id_col, text_col).mapInArrow(run, names)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, groups: int = GROUPS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, cuts: tuple[tuple[int, int], ...] = CUTS) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces (see document_pieces); lane, task and serial go."""
     # At most one number for each length up to the capacity.
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     full = histogram.pop(capacity, 0)
-    plan = fewest(histogram, capacity, groups)
+    plan = best_plan(histogram, capacity, cuts)
     place = np.array(sorted(plan.placements), np.int64).reshape(-1, 5)
     keys = place[:, 0] << 40 | place[:, 1]
     names = [c for c in pieces.columns if c not in ("lane", "task", "serial")]
@@ -242,12 +243,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, groups: int = GROUPS) -
     return planned.unionByName(alone)
 
 
-def pack_documents(df: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cuts: tuple[tuple[int, int], ...] = CUTS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     spark = df.sparkSession
     stash = arrow.Stash(spark, "packing")
     pieces = stash.keep(document_pieces(df, path, capacity, end_id, id_col, text_col, arrow.partitions(spark), with_ids), "pieces")
-    return pack_pieces(pieces, capacity, groups)
+    return pack_pieces(pieces, capacity, cuts)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
