@@ -4,12 +4,16 @@ For each class, toxic and ordinary, the probability of a word after another one
 this class, discounted counts of the word in this class, and continuation counts (after how many different words does this one
 come?) that both classes share. Words that fewer than a share SUPPORT of the sampled texts hold are one word, and pairs as rare have no counts of their own, so that
 rare expressions get about the same probability from either class and speak for neither. A text's two log-likelihoods are divided by its number of words; a logistic function of their difference,
-of the same difference over the root of the length and of the strongest words' mean is the score.
+of the same difference over the root of the length and of the strong words' share in it (log ratios over 2) is the score.
+
+The method alone, with all counts kept and the difference by length as the only evidence, doesn't give right results: one insult in a long
+text of otherwise neutral words is lost in the sum of these words' small chance differences (README has figures). Hence the support that
+counts need and the two further sums of the same log ratios.
 
 Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z, known by 64-bit hashes.
 
-Learning uses rows with a label 0 or 1 whose crc32(id) modulo 5 isn't 0, of each class the PER_CLASS with the smallest hash of the id, as many of either (none over
-LONGEST bytes); three of four train the models, the fourth fits the logistic function, weighted to the classes'
+Learning uses rows with a label 0 or 1 whose crc32(id) modulo 5 isn't 0 and a text of 1 to LONGEST bytes, of each class the PER_CLASS
+with the smallest hash of the id, as many of either; three of four train the models, the fourth fits the logistic function, weighted to the classes'
 shares among all such rows. Labels, languages, sources and ids aren't inputs of a score.
 
 A null or empty text has no words and gets the logistic function's value for no evidence. If a class has no rows to learn from, all
@@ -30,7 +34,7 @@ from geoloom.llm import arrow, words
 from geoloom.llm.language_id import held_out, keep_rows, sample_rows
 
 #: SUPPORT: share of the sampled texts that must hold a word or pair for it to have counts of its own (and at least LEAST of them).
-PER_CLASS, LONGEST, DISCOUNT, SUPPORT, LEAST = 1500, 1 << 16, 0.75, 0.01, 4
+PER_CLASS, LONGEST, DISCOUNT, SUPPORT, LEAST = 3000, 1 << 16, 0.75, 0.01, 16
 _FIRST, _RARE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -76,7 +80,7 @@ class Models:
     fit: np.ndarray
 
     def evidence(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Per text: mean log ratio, sum of log ratios over the root of the length, mean of the strongest ones."""
+        """Per text: mean log ratio, sum of log ratios over the root of the length, logarithm of 1 and the sum of the strong ones."""
         ids, begin = word_ids(data, start)
         n = np.diff(begin)
         out = np.zeros((len(n), 3))
@@ -114,87 +118,97 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _tables(counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their summed counts (rows, classes)."""
-    unique, at = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(unique), counts.shape[1]))
-    np.add.at(out, at, counts)
-    return unique, out
-
+def build(known: np.ndarray, words_: tuple, befores: tuple, pairs: tuple, discount: float = DISCOUNT) -> Models:
+    """Models from counts in which every word outside of the sorted `known` is _RARE; the logistic part is still to be fitted.
 
-def build(before: np.ndarray, word: np.ndarray, counts: np.ndarray, texts: np.ndarray, support: int, discount: float = DISCOUNT) -> Models:
-    """Models from distinct (word before, word) with counts in each class (rows, 2) and numbers of texts.
-
-    Rows whose word before is _RARE give the number of texts that hold the word. The logistic part is still to be fitted.
+    words_: (word, counts in each class, number of different words before it); befores: (word before, counts in each class);
+    pairs: (word before, word, counts in each class) of the pairs that have counts of their own.
     """
-    alone = before == _RARE
-    known = np.sort(word[alone & (texts >= support)])
-    before, word, counts, texts = (x[~alone] for x in (before, word, counts, texts))
-    word = np.append(known, _RARE)[_find(known, word)]
-    before = np.where(before == _FIRST, _FIRST, np.append(known, _RARE)[_find(known, before)])
-    pair, table = _tables(np.column_stack([counts, texts]), pair_ids(before, word))
-    first = np.unique(pair_ids(before, word), return_index=True)[1]
-    before, word, counts, texts = before[first], word[first], table[:, :2], table[:, 2]
+    size = len(known) + 1  # rows: known words in order, then the rare one
+    at = _find(known, words_[0])
+    counts, follows = np.zeros((size, 2)), np.zeros(size)
+    counts[at], follows[at] = words_[1], words_[2]
     total = counts.sum(axis=0)
-    # Rows: known words in order, then the rare one.
-    at = _find(known, word)
-    size = len(known) + 1
-    word_counts, follows = np.zeros((size, 2)), np.bincount(at, minlength=size)
-    np.add.at(word_counts, at, counts)
-    shared = np.maximum(follows - discount, 0) / len(word)
+    shared = np.maximum(follows - discount, 0) / max(follows.sum(), 1)
     shared += (1 - shared.sum()) / size
-    kinds = (word_counts > 0).sum(axis=0)
-    word_p = np.maximum(word_counts - discount, 0) / total + (discount * kinds / total) * shared[:, None]
-    counts = np.where((texts >= support)[:, None], counts, 0.0)
-    after, after_counts = _tables(counts, before)
-    _, after_kinds = _tables((counts > 0).astype(float), before)
-    _, after_all = _tables(table[:, :2], before)
+    kinds = (counts > 0).sum(axis=0)
+    word_p = np.maximum(counts - discount, 0) / total + (discount * kinds / total) * shared[:, None]
+    order = np.argsort(befores[0])
+    after, after_all = befores[0][order], befores[1][order]
+    place = np.searchsorted(after, pairs[0])
+    kept, kinds = np.zeros((len(after), 2)), np.zeros((len(after), 2))
+    np.add.at(kept, place, pairs[2])
+    np.add.at(kinds, place, pairs[2] > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         # What pairs without counts of their own have goes back to the words' probabilities.
-        back = np.where(after_all > 0, (discount * after_kinds + after_all - after_counts) / after_all, 1.0)
-        place = np.searchsorted(after, before)
-        pair_p = np.where(after_all[place] > 0, np.maximum(counts - discount, 0) / after_all[place], 0.0)
-    some = counts.sum(axis=1) > 0
-    return Models(known, word_p, pair[some], np.vstack([pair_p[some], np.zeros(2)]), after, np.vstack([back, np.ones(2)]), np.zeros(4))
+        back = np.where(after_all > 0, (discount * kinds + after_all - kept) / after_all, 1.0)
+        pair_p = np.where(after_all[place] > 0, np.maximum(pairs[2] - discount, 0) / after_all[place], 0.0)
+    keys = pair_ids(pairs[0], pairs[1])
+    order = np.argsort(keys)
+    return Models(known, word_p, keys[order], np.vstack([pair_p[order], np.zeros(2)]), after, np.vstack([back, np.ones(2)]), np.zeros(4))
+
 
+def _columns(frame: DataFrame, keys: int) -> list[np.ndarray]:
+    """Key columns as hashes, then the rest as one array of numbers."""
+    got = frame.toArrow()
+    numbers = [got.column(k).to_numpy().astype(float) for k in range(keys, got.num_columns)]
+    return [*(got.column(k).to_numpy().view(np.uint64) for k in range(keys)), np.stack(numbers, axis=1) if numbers else None]
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Models | None:
-    docs = arrow.documents(df, id_col, text_col)
+
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Models | None:
+    """Models from at most `per_class` labelled rows of each class; None if a class has none."""
+    spark, docs, stash = df.sparkSession, arrow.documents(df, id_col, text_col), arrow.Stash(df.sparkSession, "toxicity")
     known = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high")).where("toxic = high").drop("high").where(~held_out(F.col("doc_id")))
+    fit_for = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= LONGEST)).select("doc_id").distinct()
+    known = known.join(fit_for, "doc_id", "left_semi")
     share = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return None
-    each = min(PER_CLASS, *share.values())
+    each = min(per_class, *share.values())
     chosen = sample_rows(known, "toxic", each, 2 * each)
     picked = docs.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= LONGEST).withColumn("part", F.expr("pmod(xxhash64(doc_id, 3), 4)"))
+    # Equal texts are learned from once.
+    learned = picked.where("part < 3").groupBy(F.xxhash64("text"), "toxic").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "toxic")
+    learned = stash.keep(learned, "learned")
+    support = max(LEAST, int(SUPPORT * 1.5 * each))
+    word_schema = pa.schema([("word", pa.int64()), ("texts", pa.int64())])
+    pair_schema = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64()), ("texts", pa.int64())])
 
-    schema = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64()), ("texts", pa.int64())])
+    def count_words(batches):
+        for batch in arrow.slices(batches, most=8 << 20):
+            ids, begin = word_ids(*words.joined(batch.column(1)))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+            word = np.unique(np.stack([text, ids.view(np.int64)], axis=1), axis=0)[:, 1]
+            word, texts = np.unique(word, return_counts=True)
+            yield arrow.table(word_schema, word=word, texts=texts)
 
-    def count(batches):
+    # Bounded by the sample: no more words than its texts have in all over `support`.
+    often = learned.mapInArrow(count_words, "word long, texts long").groupBy("word").agg(F.sum("texts").alias("texts")).where(f"texts >= {support}").select("word")
+    often = np.sort(_columns(often, 1)[0])
+    shared_words = spark.sparkContext.broadcast(often)
+
+    def count_pairs(batches):
         for batch in arrow.slices(batches, most=8 << 20):
             ids, begin = word_ids(*words.joined(batch.column(1)))
             if not len(ids):
                 continue
+            ids = np.append(shared_words.value, _RARE)[_find(shared_words.value, ids)]
             text = np.repeat(np.arange(batch.num_rows), np.diff(begin))
             toxic = batch.column(2).to_numpy().astype(np.int64)[text]
-            for before in (before_ids(ids, begin), np.full(len(ids), _RARE)):
-                rows, at = np.unique(np.stack([before.view(np.int64), ids.view(np.int64)], axis=1), axis=0, return_inverse=True)
-                at = at.ravel()
-                texts = np.bincount(np.unique(at * np.int64(batch.num_rows) + text) // batch.num_rows, minlength=len(rows))
-                yield arrow.table(schema, before=rows[:, 0], word=rows[:, 1], n0=np.bincount(at, toxic == 0, len(rows)).astype(np.int64), n1=np.bincount(at, toxic == 1, len(rows)).astype(np.int64), texts=texts)
-
-    # Equal texts are learned from once.
-    learned = picked.where("part < 3").groupBy(F.xxhash64("text"), "toxic").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "toxic")
-    pairs = learned.mapInArrow(count, "before long, word long, n0 long, n1 long, texts long").groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("texts").alias("texts"))
-    # Bounded by the sample: PER_CLASS texts of each class.
-    got = pairs.toArrow()
-    before, word = (got.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-    counts = np.stack([got.column(k).to_numpy() for k in (2, 3)], axis=1).astype(float)
-    if not len(counts) or (counts.sum(axis=0) == 0).any():
+            rows, at = np.unique(np.stack([before_ids(ids, begin).view(np.int64), ids.view(np.int64)], axis=1), axis=0, return_inverse=True)
+            at = at.ravel()
+            texts = np.bincount(np.unique(at * np.int64(batch.num_rows) + text) // batch.num_rows, minlength=len(rows))
+            yield arrow.table(pair_schema, before=rows[:, 0], word=rows[:, 1], n0=np.bincount(at, toxic == 0, len(rows)).astype(np.int64), n1=np.bincount(at, toxic == 1, len(rows)).astype(np.int64), texts=texts)
+
+    pairs = learned.mapInArrow(count_pairs, "before long, word long, n0 long, n1 long, texts long").groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "texts")))
+    pairs = stash.keep(pairs, "pairs")
+    by_word = _columns(pairs.groupBy("word").agg(F.sum("n0"), F.sum("n1"), F.count("*")), 1)
+    by_before = _columns(pairs.groupBy("before").agg(F.sum("n0"), F.sum("n1")), 1)
+    if not len(by_word[0]) or (by_word[1][:, :2].sum(axis=0) == 0).any():
         return None
-    models = build(before, word, counts, got.column(4).to_numpy(), max(LEAST, int(SUPPORT * 1.5 * each)))
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    models = build(often, (by_word[0], by_word[1][:, :2], by_word[1][:, 2]), tuple(by_before), tuple(_columns(pairs.where(f"texts >= {support}").select("before", "word", "n0", "n1"), 2)))
+    shared = spark.sparkContext.broadcast(models)
     out = pa.schema([("toxic", pa.int32()), ("e0", pa.float64()), ("e1", pa.float64()), ("e2", pa.float64())])
 
     def weigh(batches):
@@ -202,7 +216,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             e = shared.value.evidence(*words.joined(batch.column(1)))
             yield arrow.table(out, toxic=batch.column(2), e0=e[:, 0], e1=e[:, 1], e2=e[:, 2])
 
-    rest = picked.where("part = 3").select("doc_id", "text", "toxic").mapInArrow(weigh, "toxic int, e0 double, e1 double, e2 double").orderBy("toxic", "e0", "e1", "e2").limit(4 * PER_CLASS).toPandas()
+    rest = picked.where("part = 3").select("doc_id", "text", "toxic").mapInArrow(weigh, "toxic int, e0 double, e1 double, e2 double")
+    # About a quarter of the sampled ids; where these repeat, rows go by a hash that doesn't favour a class.
+    rest = rest.orderBy(F.xxhash64("e0", "e1", "e2"), "e0", "e1", "e2", "toxic").limit(4 * per_class).toPandas()
+    stash.drop("learned")
+    stash.drop("pairs")
     y = rest["toxic"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, share[1] / y.sum(), share[0] / (len(y) - y.sum()))
