@@ -1,9 +1,11 @@
 """Operators on texts against brute force, round trips and the libraries' own answers."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -306,7 +308,7 @@ def test_license_scan(spark, docs, rows, empty):
     labels = {r[0]: r[6] for r in got}
     assert [labels[1000 + k] for k in range(10)] == ["mit", "apache-2", "cc-by-nc", "apache-2", "mit", "mit", "gpl-3", "", "", "mit,proprietary"]
     assert license_scan.scan_licenses(empty).collect() == []
-    assert len(license_scan.rules()) > 200
+    assert len(license_scan.rules()) > 500
 
 
 def test_license_gate_holds_for_every_rule():
@@ -332,11 +334,43 @@ def test_license_gate_holds_for_every_rule():
     gate = re.compile(license_scan.GATE.replace(r"\x{10FFFF}", "\U0010ffff"))
     for rule in license_scan.rules():
         text = shortest(sre_parse.parse(rule.regex))
-        assert gate.search(text) and rule.keyword in text, (rule.keyword, text)
-    for _, keyword, names, _ in license_scan.FAMILIES:
+        assert gate.search(text) and all(k in text for k in rule.keywords), (rule.keywords, text)
+        assert all(len(k) > 1 for k in rule.keywords) and len(text.split()) <= license_scan.OVER
+    for _, keyword, names in license_scan.NAMES:
         for name in names:
             text = shortest(sre_parse.parse(name))
             assert gate.search(text) and keyword in text, (keyword, text)
+    for key, phrase, *_ in license_scan.PHRASINGS:
+        assert key in shortest(sre_parse.parse(phrase.format("x")))
+
+
+def test_license_suppression_equals_brute_force(spark):
+    """All matches of all rules on random runs of their words; each pair of detections compared; blocks of 50 words and whole texts agree."""
+    rnd = random.Random(7)
+    phrases = ["licensed under the", "see the", "mit license", "apache license version 2 0", "gnu general public license", "version 3", "cc by nc sa 4 0", "license", "under the terms of", "released", "all rights reserved", "mozilla public license 2 0", "gpl v2", "bsd 3 clause license", "this is", "the public domain", "spdx license identifier mit", "public domain dedication and license 1 0", "word"]
+    rows = [(i, " ".join(rnd.choice(phrases) for _ in range(rnd.choice([3, 12, 60, 400])))) for i in range(60)]
+    every = [(re.compile(r.regex), r) for r in license_scan.rules()]
+    want = []
+    for i, text in rows:
+        words = f" {text} "
+        found = [(m.start(), m.end(), r.priority, k, r) for k, (regex, r) in enumerate(every) for m in regex.finditer(words)]
+        kept = [d for d in found if not any(e[0] <= d[0] and d[1] <= e[1] and (e[:2] != d[:2] and e[2] >= d[2] or e[:2] == d[:2] and (-e[2], e[3]) < (-d[2], d[3])) for e in found)]
+        base = {label for phrase, label in license_scan.BASE if f" {phrase} " in words}
+        want.append((i, ",".join(sorted(base | {d[4].label for d in kept})), max([d[4].confidence for d in kept] + [0.6] * bool(base), default=0.0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (50, 2000):
+        assert sorted((r.doc_id, r.labels, r.score) for r in license_scan.scan_licenses(frame, block=block).collect()) == want
+
+
+def slow_difference_hash(image, size=8):
+    """Means of the target samples' areas by exact fractions."""
+    height, width = image.shape
+    shares = lambda n, parts: [[max(Fraction(0), min(Fraction((k + 1) * n, parts), i + 1) - max(Fraction(k * n, parts), i)) for i in range(n)] for k in range(parts)]
+    rows, columns = shares(height, size), shares(width, size + 1)
+    across = [[sum(int(v) * s for v, s in zip(line, c) if s) for c in columns] for line in image]
+    small = [[sum(across[i][k] * s for i, s in enumerate(r) if s) for k in range(size + 1)] for r in rows]
+    bits = "".join("1" if line[k] * size * (size + 1) / (height * width) + Fraction(1, 10**9) < line[k + 1] * size * (size + 1) / (height * width) else "0" for line in small for k in range(size))
+    return f"{int(bits, 2):0{size * size // 4}x}"
 
 
 def test_media(docs, rows, empty):
@@ -348,7 +382,14 @@ def test_media(docs, rows, empty):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes > r.payload_bytes and len(r.feature) == 16
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        files = []
+        for k in range(0, len(image), media_columns.TILE):
+            buffer = io.BytesIO()
+            np.save(buffer, image[k : k + media_columns.TILE])
+            files.append(buffer.getvalue())
+        assert (r.media_bytes, r.media_sha256) == (sum(map(len, files)), hashlib.sha256(b"".join(files)).hexdigest())
+        assert r.feature == slow_difference_hash(image)
     assert media_columns.text_media_digest(empty).collect() == []
 
 
@@ -360,7 +401,7 @@ def test_pictures_round_trip(spark):
         assert (media_columns.decode_bmp(media_columns.encode_bmp(image)) == image).all()
         assert (media_columns.from_npy(media_columns.to_npy(image)) == image).all()
     tall = rnd.integers(0, 256, (50_000, 64), dtype=np.uint8)
-    assert np.allclose(media_columns.area_resize(tall, 8, 9), media_columns.area_resize(tall, 8, 9, block=1 << 20))
+    assert np.allclose(media_columns.area_resize(tall, 8, 9), media_columns.area_resize(tall, 8, 9, block=1 << 20), rtol=1e-12)
     exact = media_columns.area_resize(np.arange(64.0).reshape(8, 8), 4, 4)
     assert np.allclose(exact, np.arange(64.0).reshape(4, 2, 4, 2).mean(axis=(1, 3)))
     frame = spark.createDataFrame([(1, bytearray(media_columns.encode_bmp(tall[:64]))), (2, None), (3, bytearray(b"no picture"))], "id long, pic binary")
