@@ -1,11 +1,12 @@
 """Media columns: pictures in binary columns, decoded to arrays, resized, tiled and fingerprinted.
 
 Netpbm (P5, P6) and BMP (8-bit palette, 24-bit) pictures are decoded to numpy arrays. `area_resize` takes band
-sums from integral images, so its cost doesn't depend on the target size. Tiles are NPY files (version 1.0) in a
-binary column, each with a difference hash.
+sums from integral images, so its cost doesn't depend on the target size; integrals of tall pictures are carried from block to block of
+rows. Tiles are NPY files (version 1.0) in binary columns, each with a difference hash.
 
-`payload_media` stores texts losslessly as grey pictures 64 samples wide: UTF-8 bytes (null: none), then zeros up to
-a positive multiple of 64. An empty text is one row of zeros. Null, empty, repeated and very long texts and empty
+`payload_media` makes texts grey pictures 64 samples wide: UTF-8 bytes (null: none), then zeros up to
+a positive multiple of 64. `store_tiles` decodes such a column and writes each picture's NPY tiles, TILE rows each, to a table in the
+shared folder; `stored_features` puts together what it reads back. An empty text is one row of zeros. Null, empty, repeated and very long texts and empty
 tables need no special care; ids may be null or repeated, each row gives one row.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from geoloom.llm import arrow
 
 WIDTH = 64
+#: Rows of a stored tile.
+TILE = 256
 
 
 def encode_netpbm(image: np.ndarray) -> bytes:
@@ -83,32 +86,28 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def _band_means(values: np.ndarray, parts: int) -> np.ndarray:
-    """Means over `parts` equal bands of the first axis, from its integral; edges inside a sample count by share."""
-    integral = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+def _band_means(values: np.ndarray, parts: int, block: int) -> np.ndarray:
+    """Means over `parts` equal bands of the first axis, from its integral; edges inside a sample count by share.
+
+    The integral is only held for `block` samples at a time, with what lies before as a carry. Sums of whole numbers are exact.
+    """
     edge = np.arange(parts + 1) * (len(values) / parts)
     low = np.minimum(edge.astype(np.int64), len(values) - 1)
     share = (edge - low).reshape(-1, *[1] * (values.ndim - 1))
-    at = integral[low] + share * (integral[low + 1] - integral[low])
+    at, carry = np.empty((parts + 1, *values.shape[1:])), np.zeros((1, *values.shape[1:]))
+    for begin in range(0, len(values), block):
+        part = values[begin : begin + block]
+        integral = np.concatenate([carry, carry + np.cumsum(part, axis=0, dtype=np.float64)])
+        here = np.flatnonzero((low >= begin) & (low < begin + len(part)))
+        at[here] = integral[low[here] - begin] + share[here] * part[low[here] - begin]
+        carry = integral[-1:]
     return (at[1:] - at[:-1]) * (parts / len(values))
 
 
 def area_resize(image: np.ndarray, height: int, width: int, block: int = 1 << 14) -> np.ndarray:
-    """Each target sample is the mean of the source area below it. Tall pictures are first summed in blocks of rows."""
-    rows = len(image)
-    if rows > block:
-        edge = np.arange(height + 1) * (rows / height)
-        out = np.empty((height, *image.shape[1:]))
-        for k in range(height):
-            lo, hi = edge[k], edge[k + 1]
-            a, b = int(lo), min(int(np.ceil(hi)), rows)
-            total = np.zeros(image.shape[1:])
-            for i in range(a, b, block):
-                total += image[i : min(i + block, b)].sum(axis=0, dtype=np.float64)
-            out[k] = (total - (lo - a) * image[a] - (b - hi) * image[b - 1]) / (hi - lo)
-    else:
-        out = _band_means(image, height)
-    return np.swapaxes(_band_means(np.swapaxes(out, 0, 1), width), 0, 1)
+    """Each target sample is the mean of the source area below it."""
+    out = _band_means(image, height, block)
+    return np.swapaxes(_band_means(np.swapaxes(out, 0, 1), width, block), 0, 1)
 
 
 def difference_hash(image: np.ndarray, size: int = 8) -> str:
@@ -174,29 +173,52 @@ def payload_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return arrow.documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Decode a media column and describe what it holds: digests of the samples and of the stored form, a difference hash."""
-    names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+def store_tiles(media: DataFrame, stash: arrow.Stash, name: str = "tiles") -> DataFrame:
+    """Decode a media column and write doc_id, n_bytes, npy (array of NPY files, from the top) and dhash (one for each)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("npy", pa.list_(pa.binary())), ("dhash", pa.list_(pa.string()))])
 
     def run(batches):
         for batch in arrow.slices(batches, "media"):
-            out: dict[str, list] = {n: [] for n in schema.names[2:]}
+            npy, hashes = [], []
             for scalar in batch.column(2):
-                data = scalar.as_buffer().to_pybytes()
-                image = decode(data)
-                payload = image.tobytes()
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-WIDTH:]))
-                out["media_bytes"].append(len(data))
-                out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-                out["feature"].append(difference_hash(image))
+                image = decode(scalar.as_buffer().to_pybytes())
+                parts = [image[k : k + TILE] for k in range(0, len(image), TILE)]
+                npy.append([to_npy(x) for x in parts])
+                hashes.append([difference_hash(x) for x in parts])
+            yield arrow.table(schema, doc_id=batch.column(0), n_bytes=batch.column(1), npy=npy, dhash=hashes)
+
+    return stash.keep(media.mapInArrow(run, "doc_id long, n_bytes long, npy array<binary>, dhash array<string>"), name)
+
+
+def stored_features(stored: DataFrame) -> DataFrame:
+    """Digests of the samples and of the stored bytes of every row of tiles, a difference hash of the whole picture, and that of its first tile.
+
+    Stored tiles whose own hash is another one than that stored with them are an error.
+    """
+    names = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles int"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in schema.names[2:]}
+            for npy, hashes in zip(batch.column(2), batch.column(3), strict=True):
+                files = npy.as_py()
+                parts = [from_npy(x) for x in files]
+                image = parts[0] if len(parts) == 1 else np.concatenate(parts)
+                whole = difference_hash(image)
+                first = hashes.as_py()[0]
+                if (whole if len(parts) == 1 else difference_hash(parts[0])) != first:
+                    raise ValueError("a stored tile has another difference hash than the one beside it")
+                payload, digest = image.tobytes(), hashlib.sha256()
+                for x in files:
+                    digest.update(x)
+                for n, v in zip(schema.names[2:], (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), sum(map(len, files)), digest.hexdigest(), whole, len(files)), strict=True):
+                    out[n].append(v)
             yield arrow.table(schema, doc_id=batch.column(0), n_bytes=batch.column(1), **out)
 
-    return media.mapInArrow(run, names)
+    return stored.mapInArrow(run, names)
 
 
 def text_media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts to a media column and back: one row of digests and features per document."""
-    return media_features(payload_media(df, id_col, text_col))
+    """Texts to pictures, to stored NPY tiles and back: one row of digests and features per document."""
+    return stored_features(store_tiles(payload_media(df, id_col, text_col), arrow.Stash(df.sparkSession, "media")))
