@@ -82,6 +82,21 @@ def resolution(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved")).withColumn("rate", F.when(F.col("raw") > 0, F.col("resolved") / F.col("raw")).otherwise(0.0))
 
 
+def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of `value` over all rows up to this one by `order` (no repeats, not null), without sorting everything in one task.
+
+    Rows are dealt by quantiles of the order, summed within each range, and what the ranges before hold is added; there are as many ranges as
+    shuffle partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(df.approxQuantile(order, [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: F.col(order).cast("double") > e)) if edges else F.lit(0)
+    dealt = df.withColumn("_part", at)
+    before = dealt.groupBy("_part").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(out, own).join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
 def weighted_percentile(df: DataFrame, value: str, weight: str, q: float, *groups: str) -> DataFrame:
     """Smallest value whose cumulative weight reaches q of the total. NaN and null values don't count, infinity does.
 
@@ -89,9 +104,11 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, q: float, *group
     """
     good = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(weight).isNotNull())
     per = good.groupBy(*groups, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*groups).orderBy("_v") if groups else Window.partitionBy(F.lit(0)).orderBy("_v")
-    every = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    run = per.withColumn("_c", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(every))
+    if groups:
+        w = Window.partitionBy(*groups)
+        run = per.withColumn("_c", F.sum("_w").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(w))
+    else:
+        run = running_sum(per, "_v", "_w", "_c").crossJoin(per.agg(F.sum("_w").alias("_t")))
     hit = F.min(F.when((F.col("_t") > 0) & (F.col("_c") >= F.lit(q) * F.col("_t")), F.col("_v"))).alias("percentile")
     return run.groupBy(*groups).agg(hit) if groups else run.agg(hit)
 
@@ -99,8 +116,7 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, q: float, *group
 def weighted_cdf(df: DataFrame, value: str, weight: str) -> DataFrame:
     """(value, share): weight up to and including each distinct value over the total."""
     per = df.groupBy(F.col(value).alias("value")).agg(F.sum(weight).alias("w"))
-    one = Window.partitionBy(F.lit(0))
-    return per.select("value", (F.sum("w").over(one.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(one)).alias("share"))
+    return running_sum(per, "value", "w", "c").crossJoin(per.agg(F.sum("w").alias("t"))).select("value", (F.col("c") / F.col("t")).alias("share"))
 
 
 def histogram(df: DataFrame, value: str, size: float = 2.5, start: float = 0.0) -> DataFrame:
@@ -115,10 +131,11 @@ def unique_names(df: DataFrame, name: str, order: list[str | Column], sep: str =
 
 
 def number_blanks(df: DataFrame, name: str, order: str, prefix: str) -> DataFrame:
-    """Blank names become prefix and a running number over the blanks only."""
+    """Blank names become prefix and a running number over the blanks only, by `order`, a number without repeats."""
     blank = F.coalesce(F.trim(name), F.lit("")) == ""
-    k = F.row_number().over(Window.partitionBy(blank).orderBy(order))
-    return df.withColumn(name, F.when(blank, F.concat(F.lit(prefix), k)).otherwise(F.col(name)))
+    numbered = running_sum(df.where(blank).withColumn("_one", F.lit(1)), order, "_one", "_k")
+    numbered = numbered.withColumn(name, F.concat(F.lit(prefix), F.col("_k"))).select(df.columns)
+    return df.where(~blank).unionByName(numbered)
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 500, seed: int = 42) -> DataFrame:

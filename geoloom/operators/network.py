@@ -10,7 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,8 +18,8 @@ from geoloom.functions.geometry import planar_distance
 
 # Speed in km/h and detour factor by mode.
 SPEED, DETOUR = {"walk": 4.8, "drive": 30.0}, {"walk": 1.4, "drive": 1.25}
-#: Edges that a search may hold in every worker's memory (16 bytes each); larger graphs go frontier by frontier.
-MOST_EDGES = 20_000_000
+#: Edges that a search may hold in every worker's memory (up to about 200 bytes each as Python objects); larger graphs go frontier by frontier.
+MOST_EDGES = 2_000_000
 
 
 def planar_od(buildings: DataFrame, areas: DataFrame, mode: str = "walk", speed: float | None = None, detour: float | None = None, limit: float | None = None) -> DataFrame:
@@ -40,27 +40,52 @@ def nearest_area(od: DataFrame) -> DataFrame:
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, cell: float) -> DataFrame:
-    """(point_id, node, metres): the nearest node by growing rings of grid cells; ties to the smaller node."""
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
-    n = nodes.select(F.col("id").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
-    left, found, reach = points.select(point_id, "x", "y"), None, 1
-    size = nodes.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    if size[0] is None:
-        return points.select(point_id, F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("metres"))
+    """(point_id, node, metres): the nearest node by growing grid cells; ties to the smaller node."""
+    got = _nearest(points.select(point_id, "x", "y"), nodes.select("id", "x", "y"), point_id, planar_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")), cell)
+    return got.select(point_id, F.col("b.node").cast("long").alias("node"), F.col("b.d").alias("metres"))
+
+
+def nearest_planar(buildings: DataFrame, areas: DataFrame, mode: str = "walk", speed: float | None = None, detour: float | None = None) -> DataFrame:
+    """The rows of nearest_area(planar_od(...)) without the table of all pairs: each building meets the areas in cells around it."""
+    size = areas.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    cell = max(((size[1] or 0.0) * (size[2] or 0.0) / max(size[0], 1)) ** 0.5, 1e-3)
+    metres = planar_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) * F.lit(detour or DETOUR.get(mode, 1.4))
+    minutes = (metres / F.lit((speed or SPEED[mode]) * 1000 / 60)).cast("float")
+    got = _nearest(buildings.select("building_idx", "x", "y"), areas.select(F.col("area_idx").alias("id"), "x", "y"), "building_idx", minutes, cell)
+    return got.select("building_idx", F.col("b.node").alias("area_idx"), F.col("b.d").alias("minutes"))
+
+
+def _nearest(points: DataFrame, nodes: DataFrame, point_id: str, far: Column, cell: float) -> DataFrame:
+    """(point_id, b: the smallest struct of `far`, an increasing function of the distance, and node).
+
+    Points look into the nine cells around them. Who finds nothing there that is surely the nearest tries again in cells four times as wide;
+    when a cell is wider than all points and nodes together, everyone has found it, so no point ever meets all nodes but there.
+    """
+    bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    a, b = nodes.agg(*bounds).first(), points.agg(*bounds).first()
+    if a[0] is None or b[0] is None:
+        none = nodes.select("id", F.col("x").alias("nx"), F.col("y").alias("ny")).limit(0)
+        return points.join(none, F.lit(True), "left").select(point_id, F.struct(far.alias("d"), F.col("id").alias("node")).alias("b"))
+    extent = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
+    left, found = points, None
     while True:
-        ring = F.sequence(F.lit(-reach), F.lit(reach))
+        at = lambda c: F.floor(F.col(c) / F.lit(cell))  # noqa: B023, E731
+        n = nodes.select(F.col("id").alias("node"), F.col("x").alias("nx"), F.col("y").alias("ny"), at("x").alias("cx"), at("y").alias("cy"))
+        ring = F.array(*[F.lit(k) for k in (-1, 0, 1)])
         spread = left.withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring)).select(point_id, "x", "y", (at("x") + F.col("dx")).alias("cx"), (at("y") + F.col("dy")).alias("cy"))
-        d = planar_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
-        best = spread.join(n, ["cx", "cy"]).groupBy(point_id).agg(F.min(F.struct(d.alias("d"), "node")).alias("b"))
-        # Safe only within the ring's inner radius: a node outside of it could still be nearer.
-        sure = best.where(F.col("b.d") <= F.lit(float(reach) * cell)).select(point_id, F.col("b.node").cast("long").alias("node"), F.col("b.d").alias("metres"))
+        metres = planar_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
+        best = spread.join(n, ["cx", "cy"]).groupBy(point_id).agg(F.min(F.struct(far.alias("d"), "node")).alias("b"), F.min(metres).alias("metres"))
+        # A node outside of the nine cells is at least one cell away.
+        last = cell > extent
+        sure = best if last else best.where(F.col("metres") < F.lit(cell * (1 - 1e-6)))
+        sure = sure.select(point_id, "b")
         found = sure if found is None else found.unionByName(sure)
+        if last:
+            return found
         left = left.join(sure, point_id, "left_anti")
-        if reach * cell >= 64 * cell or left.isEmpty():
-            break
-        reach *= 4
-    far = left.join(n, F.lit(True), "cross").groupBy(point_id).agg(F.min(F.struct(planar_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")).alias("d"), "node")).alias("b"))
-    return found.unionByName(far.select(point_id, F.col("b.node").cast("long").alias("node"), F.col("b.d").alias("metres")))
+        if left.isEmpty():
+            return found
+        cell *= 4
 
 
 def street_edges(edges: DataFrame, mode: str) -> DataFrame:
@@ -92,7 +117,8 @@ def street_distances(sources: DataFrame, edges: DataFrame, mode: str = "walk", c
     graph = street_edges(edges, mode)
     if graph.count() > MOST_EDGES:
         return frontier_distances(sources, graph, cutoff, checkpoint)
-    table = spark.sparkContext.broadcast(tuple(np.array(x) for x in zip(*graph.select("src", "dst", "metres").collect(), strict=True)) or None)
+    got = graph.select("src", "dst", "metres").toArrow()
+    table = spark.sparkContext.broadcast(tuple(got.column(k).to_numpy() for k in range(3)) if got.num_rows else None)
 
     def run(batches):
         near: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -108,11 +134,11 @@ def street_distances(sources: DataFrame, edges: DataFrame, mode: str = "walk", c
     return spread.mapInPandas(run, "area_idx long, node long, metres double")
 
 
-def frontier_distances(sources: DataFrame, graph: DataFrame, cutoff: float | None = None, checkpoint: bool = True, most_rounds: int = 10_000) -> DataFrame:
+def frontier_distances(sources: DataFrame, graph: DataFrame, cutoff: float | None = None, checkpoint: bool = True) -> DataFrame:
     """The same by relaxing all edges of the last round's improvements until none is left: for graphs of any size."""
     best = sources.select(F.col("area_idx").cast("long"), F.col("node").cast("long"), F.lit(0.0).alias("metres"))
     changed = best
-    for _ in range(most_rounds):
+    while True:  # distances only fall, so it ends
         edges = graph.select("src", "dst", F.col("metres").alias("more"))
         step = changed.join(edges, F.col("node") == F.col("src")).select("area_idx", F.col("dst").cast("long").alias("node"), (F.col("metres") + F.col("more")).alias("metres"))
         step = (step.where(F.col("metres") <= cutoff) if cutoff is not None else step).groupBy("area_idx", "node").agg(F.min("metres").alias("new"))
@@ -120,8 +146,7 @@ def frontier_distances(sources: DataFrame, graph: DataFrame, cutoff: float | Non
         joined = joined.checkpoint() if checkpoint else joined.persist()
         best, changed = joined.drop("better"), joined.where("better").drop("better")
         if changed.isEmpty():
-            break
-    return best
+            return best
 
 
 def street_od(buildings: DataFrame, areas: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str = "walk", speed: float | None = None, limit: float | None = None, cell: float = 250.0) -> DataFrame:
@@ -138,17 +163,31 @@ def with_travel_time(edges: DataFrame, mode: str = "walk", speed: float | None =
     return edges.withColumn("speed_kph", F.lit(float(kmh))).withColumn("travel_time", F.col("length_m") / F.lit(kmh * 1000 / 3600))
 
 
-def graph_health(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """One row: nodes, edges, components, largest, largest_ratio, by spreading the smallest label along edges."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    label = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(most_rounds):
-        near = both.join(label, both.dst == label.id).groupBy("src").agg(F.min("label").alias("near"))
-        new = label.join(near, label.id == near.src, "left").select("id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")).checkpoint()
-        label = new.drop("moved")
-        if new.where("moved").isEmpty():
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that undirected edges lead to, by alternating star contractions.
+
+    Every round points all neighbours of a node at the smallest one known, so the number of rounds grows with the logarithm of the longest way.
+    """
+    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = mark(now)
+    while before[0]:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        now = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        after = mark(now)
+        if after == before:
             break
-    sizes = label.groupBy("label").agg(F.count("*").alias("n"))
+        before = after
+    return nodes.select("id").join(now, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("label"))
+
+
+def graph_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, components, largest, largest_ratio."""
+    sizes = components(nodes, edges).groupBy("label").agg(F.count("*").alias("n"))
     out = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
     return out.crossJoin(edges.agg(F.count("*").alias("edges"))).withColumn("largest_ratio", F.when(F.col("nodes") > 0, F.col("largest") / F.col("nodes")).otherwise(0.0))
 

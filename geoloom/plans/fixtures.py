@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,6 +35,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace("VARCHAR(20)", "STRING").format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder that the session names; one of this machine's own only where it names none and runs here alone."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp())
+
+
 def oracle(sql: str) -> str:
     """The query with the views it names in front."""
     used = [n for n in VIEWS if n in sql]

@@ -10,7 +10,7 @@ from geoloom.functions import geometry as geo
 from geoloom.functions import text
 from geoloom.operators import analytics, export, location, names, network, population, registry, rules, spatial
 from geoloom.plans import pipelines
-from geoloom.plans.fixtures import oracle, view
+from geoloom.plans.fixtures import ensure_checkpoints, oracle, view
 
 
 def milli(c):
@@ -26,9 +26,13 @@ def _od(spark, d):
     return network.planar_od(view(spark, d, "f_buildings"), view(spark, d, "f_areas"))
 
 
+def _nearest(spark, d):
+    return network.nearest_planar(view(spark, d, "f_buildings"), view(spark, d, "f_areas"))
+
+
 def _assigned(spark, d):
     b = view(spark, d, "f_buildings").withColumn("weight", population.estimate_population("area_m2", "levels"))
-    return network.nearest_area(_od(spark, d)).join(b.select("building_idx", "weight"), "building_idx")
+    return _nearest(spark, d).join(b.select("building_idx", "weight"), "building_idx")
 
 
 @query("od_planar", oracle(f"SELECT building_idx, area_idx, CAST(minutes AS DOUBLE) AS minutes FROM ({_OD})"))
@@ -38,6 +42,11 @@ def od_planar(spark, d):
 
 @query("nearest_area", oracle(f"SELECT building_idx, area_idx, CAST(minutes AS DOUBLE) AS minutes FROM ({_NEAREST})"))
 def nearest_area(spark, d):
+    return _nearest(spark, d).withColumn("minutes", F.col("minutes").cast("double"))
+
+
+@query("nearest_by_matrix", oracle(f"SELECT building_idx, area_idx, CAST(minutes AS DOUBLE) AS minutes FROM ({_NEAREST})"))
+def nearest_by_matrix(spark, d):
     return network.nearest_area(_od(spark, d)).withColumn("minutes", F.col("minutes").cast("double"))
 
 
@@ -91,14 +100,12 @@ def alternatives(spark, d):
 
 @query("worst_20", oracle(f"SELECT building_idx, area_idx FROM ({_NEAREST}) ORDER BY minutes DESC, building_idx LIMIT 20"))
 def worst_20(spark, d):
-    return network.nearest_area(_od(spark, d)).orderBy(F.desc("minutes"), "building_idx").limit(20).select("building_idx", "area_idx")
+    return _nearest(spark, d).orderBy(F.desc("minutes"), "building_idx").limit(20).select("building_idx", "area_idx")
 
 
-@query("wide_od", oracle(f"SELECT building_idx, " + ", ".join(f"CAST(round(max(CASE WHEN area_idx = {a} THEN CAST(minutes AS DOUBLE) END) * 10) AS BIGINT) AS area_{a}" for a in range(4)) + f" FROM ({_OD}) GROUP BY 1"))
+@query("wide_od", oracle(f"SELECT building_idx, " + ", ".join(f"max(CASE WHEN area_idx = {a} THEN round_even(CAST(minutes AS DOUBLE), 2) END) AS area_{a}" for a in range(4)) + f" FROM ({_OD}) GROUP BY 1"))
 def wide_od(spark, d):
-    got = network.wide_od(_od(spark, d), [0, 1, 2, 3])
-    raw = _od(spark, d).groupBy("building_idx").pivot("area_idx", [0, 1, 2, 3]).agg(F.first(F.col("minutes").cast("double")))
-    return raw.select("building_idx", *[F.round(F.col(f"`{a}`") * 10).cast("long").alias(f"area_{a}") for a in range(4)]) if got.columns else got
+    return network.wide_od(_od(spark, d), [0, 1, 2, 3])
 
 
 @query("population_estimate", oracle(f"SELECT building_idx, {_WEIGHT} AS weight FROM f_buildings"))
@@ -226,11 +233,12 @@ def pivot_top_15(spark, d):
     return analytics.neighbourhood_pivot(_report_rows(spark, d), _CATEGORIES, top=15)
 
 
-@query("quality", oracle(f"SELECT category, count(*) AS n, CAST(round(count(neighbourhood) * 100.0 / count(*)) AS BIGINT) AS neighbourhood_pct, CAST(round(count(latitude) * 100.0 / count(*)) AS BIGINT) AS coordinate_pct, CAST(round(count(footprint_m2) * 100.0 / count(*)) AS BIGINT) AS area_pct FROM ({_REPORT}) GROUP BY 1"))
+_SHARES = ", ".join(f"round_even(CAST(count({c}) AS DOUBLE) / count(*) * 100, 1) AS {n}" for c, n in (("neighbourhood", "neighbourhood_pct"), ("latitude", "coordinate_pct"), ("footprint_m2", "area_pct")))
+
+
+@query("quality", oracle(f"SELECT category, count(*) AS n, {_SHARES} FROM ({_REPORT}) GROUP BY 1").replace("SELECT category, count(*) AS n, round", "SELECT *, round_even((neighbourhood_pct + coordinate_pct + area_pct) / CAST(3 AS DOUBLE), 1) AS mean_pct FROM (SELECT category, count(*) AS n, round", 1) + ")")
 def quality(spark, d):
-    rows = _report_rows(spark, d)
-    share = rows.groupBy("category").agg(F.count("*").alias("n"), *[F.round(F.count(c) * 100 / F.count("*")).cast("long").alias(n) for c, n in (("neighbourhood", "neighbourhood_pct"), ("latitude", "coordinate_pct"), ("footprint_m2", "area_pct"))])
-    return analytics.quality(rows).select("category", "n").join(share.drop("n"), "category")
+    return analytics.quality(_report_rows(spark, d))
 
 
 @query("key_figures", oracle(f"SELECT count(*) AS n, count(DISTINCT category) AS categories, count(DISTINCT neighbourhood) AS neighbourhoods, CAST(round(avg(CASE WHEN neighbourhood IS NULL THEN 0 ELSE 1 END) * 1000) AS BIGINT) AS with_neighbourhood, CAST(round(avg(CASE WHEN confidence = 'high' THEN 1 ELSE 0 END) * 1000) AS BIGINT) AS high_share FROM ({_REPORT})"))
@@ -249,9 +257,9 @@ def confidence_counts(spark, d):
     return analytics.count_by(_report_rows(spark, d), "confidence", fill="Unknown")
 
 
-@query("text_search", oracle("SELECT id FROM f_features WHERE lower(name) LIKE '%1%7%' AND (contains(lower(name), '17') OR contains(lower(coalesce(brand, '')), '17'))"))
+@query("text_search", oracle("SELECT id FROM f_features WHERE contains(lower(name), 'd b') OR contains(lower(coalesce(brand, '')), 'd b') OR contains(lower(coalesce(building, '')), 'd b')"))
 def text_search(spark, d):
-    return view(spark, d, "f_features").where(text.contains_text(["name", "brand"], "17")).where(F.col("name").like("%1%7%")).select("id")
+    return view(spark, d, "f_features").where(text.contains_text(["name", "brand", "building"], " D B ".strip())).select("id")
 
 
 @query("translated", oracle("SELECT id, CASE building WHEN 'residential' THEN 'Konut' WHEN 'apartments' THEN 'Apartman' WHEN 'school' THEN 'Okul Binası' WHEN 'yes' THEN 'Belirsiz' ELSE 'nan' END AS building FROM f_features"))
@@ -395,7 +403,11 @@ def top_capacities(spark, d):
     return population.prepare_areas(view(spark, d, "f_areas")).orderBy(F.desc("capacity")).limit(7).agg(F.sum("capacity").alias("capacity"))
 
 
-@query("name_lookup")
+# A name's candidates are all features of the same name, which score 100 like it; the smallest id comes first.
+_LOOKUP = "SELECT id AS input_row, name AS raw_name, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'Ambiguous' ELSE 'Matched' END AS status, min(id) OVER (PARTITION BY name) AS cand_id, name AS cand_name, CAST(100 AS DOUBLE) AS score, 1 AS tier FROM f_features"
+
+
+@query("name_lookup", oracle(_LOOKUP))
 def name_lookup(spark, d):
     features = view(spark, d, "f_features")
     pool = names.candidates(features, "id", F.array("name"))
@@ -410,12 +422,12 @@ def category_detection(spark, d):
     return names.detect_category(inputs, "name", patterns, registry.UMBRELLAS, "k")
 
 
-@query("graph_health")
-def graph_health(spark, d):
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+_REACH = "RECURSIVE w(a, b, hop) AS (SELECT id, id, 0 FROM f_nodes UNION SELECT a, CASE WHEN e.src = b THEN e.dst ELSE e.src END, hop + 1 FROM w JOIN f_edges e ON e.src = b OR e.dst = b WHERE hop < 10), c AS (SELECT a, min(b) AS label FROM w GROUP BY 1), s AS (SELECT label, count(*) AS n FROM c GROUP BY 1)"
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+@query("graph_health", oracle(_REACH + " SELECT CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest, (SELECT count(*) FROM f_edges) AS edges, max(n) / sum(n) AS largest_ratio FROM s"))
+def graph_health(spark, d):
+    ensure_checkpoints(spark)
     return network.graph_health(view(spark, d, "f_nodes"), view(spark, d, "f_edges"))
 
 
@@ -425,13 +437,16 @@ def p_median(spark, d):
     return got.summary.select("area_idx", "buildings", milli("mean_minutes").alias("mean_milli"))
 
 
-@query("extraction")
+_SPREAD = "SELECT *, CAST((id * 7919) % 10007 AS DOUBLE) AS px, CAST((id * 104729) % 10009 AS DOUBLE) AS py FROM f_features"
+
+
+@query("extraction", oracle(f"SELECT count(*) AS raw, count(*) AS resolved, count(*) FILTER (WHERE NOT (px BETWEEN 0 AND 10000 AND py BETWEEN 0 AND 10000)) AS outside, CAST(1 AS DOUBLE) AS rate FROM ({_SPREAD}) WHERE building = 'school' OR amenity IN ('school', 'hospital') OR leisure = 'park'"))
 def extraction(spark, d):
     points = _features(spark, d).withColumn("x", ((F.col("id") * 7919) % 10007).cast("double")).withColumn("y", ((F.col("id") * 104729) % 10009).cast("double")).withColumn("rings", F.lit(None).cast(geo.POLYGON)).drop("neighbourhood")
     return pipelines.extract(points, _polygons(spark, d), [("buildings", "school"), ("health", "hospital"), ("green_area", "park")]).summary
 
 
-@query("assumptions")
+@query("assumptions", "SELECT * FROM (VALUES ('people per square metre of floor', 0.025::DOUBLE), ('levels where unknown', 4.0::DOUBLE), ('square metres each', 1.5::DOUBLE), ('least capacity', 50.0::DOUBLE), ('area where unknown', 1000.0::DOUBLE), ('least people a building', 1.0::DOUBLE)) v(assumption, value)")
 def assumptions(spark, d):
     return population.assumptions(spark)
 

@@ -8,7 +8,7 @@ import geoloom.catalog as catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SOME = ["area_summary", "coverage", "weighted_p95", "alternatives", "classify", "category_summary", "neighbourhood_pivot", "calibrated", "neighbourhood_assignment", "street_walk", "street_drive", "coordinate_audit", "union_dedup"]
+SOME = ["area_summary", "coverage", "weighted_p95", "alternatives", "classify", "category_summary", "neighbourhood_pivot", "calibrated", "neighbourhood_assignment", "street_walk", "street_drive", "coordinate_audit", "union_dedup", "wide_od", "quality", "text_search", "name_lookup", "graph_health", "extraction", "best_area", "open_assignments", "prepared_buildings", "yes_buildings", "detected_categories", "name_words", "global_p95"]
 
 
 @pytest.fixture(scope="module")
