@@ -190,9 +190,8 @@ BLOCK, OVER, _FAR = 2000, 40, 1 << 32
 _FOUND = "array<struct<start:bigint,back:bigint,rank:int,ord:int,label:string,confidence:double>>"
 
 
-def _blocks(words: Column, n_words: Column, block: int) -> Column:
+def _blocks(words: Column, parts: Column, n_words: Column, block: int) -> Column:
     """Array of (words of a block and OVER more, place where the next block begins): the work for many detections stays linear."""
-    parts = F.split(F.trim(words), " ", -1)
     own = lambda k: F.array_join(F.slice(parts, k + 1, block), " ")
     wide = lambda k: F.array_join(F.slice(parts, k + 1, block + OVER), " ")
     many = F.transform(F.sequence(F.lit(0), n_words.cast("int") - 1, F.lit(block)), lambda k: F.struct(F.concat(F.lit(" "), wide(k), F.lit(" ")).alias("words"), (F.length(own(k)) + 1).alias("next")))
@@ -255,12 +254,13 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count = F.when(F.col("words") == "  ", F.lit(0)).otherwise(_spaces(F.col("words")) - 1)
     base = base.select("doc_id", count.cast("long").alias("n_words"), F.when(F.col("gate"), _lower(F.col("words"))).alias("words"))
 
-    # Keywords that occur, then rules that have theirs.
+    # Words of long texts, cut once; keywords that occur, then rules that have theirs.
+    base = base.withColumn("parts", F.when(F.col("n_words") > block, F.split(F.trim("words"), " ", -1)))
     keywords = sorted({k for r in every for k in r.keywords})
     base = base.withColumn("present", F.when(F.col("words").isNotNull(), F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("words"), k))))
     base = base.withColumn("live", F.filter(table, lambda r: F.array_contains(F.col("present"), r["name"]) & F.array_contains(F.col("present"), r["phrase"])))
     between = [F.split(F.col("words"), f" {phrase}(?= )", -1).alias(f"p{k}") for k, (phrase, _) in enumerate(BASE)]
-    rows = base.select("doc_id", "n_words", *[F.when(F.col("words").isNotNull(), x).alias(f"p{k}") for k, x in enumerate(between)], F.when(F.col("words").isNotNull(), _outermost(_detections(_blocks(F.col("words"), F.col("n_words"), block), F.col("live")), max(r.priority for r in every))).alias("kept"))
+    rows = base.select("doc_id", "n_words", *[F.when(F.col("words").isNotNull(), x).alias(f"p{k}") for k, x in enumerate(between)], F.when(F.col("words").isNotNull(), _outermost(_detections(_blocks(F.col("words"), F.col("parts"), F.col("n_words"), block), F.col("live")), max(r.priority for r in every))).alias("kept"))
     places = [F.coalesce(F.size(F.col(f"p{k}")) - 1, F.lit(0)) for k in range(len(BASE))]
     places = [F.when(F.col(f"p{k}").isNull(), 0).otherwise(n) for k, n in enumerate(places)]
     first = [F.when(n > 0, _spaces(F.get(F.col(f"p{k}"), F.lit(0)))) for k, n in enumerate(places)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geoloom.llm import bpe, embedding_dedup, language_id, license_scan, lm_mixing, media_columns, ngram_join, packing, token_shards, toxicity
 
@@ -55,9 +56,69 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_media_digest(_read(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that don't depend on its rules."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that don't depend on its model; the score in millionths."""
+    rows = op5_lm_scoring(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round(F.col("base_score") * 1000000).cast("long").alias("base_micro"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that digest what was stored and read back."""
+    return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op5_lm_scoring, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns)}
+    every = (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op5_lm_scoring, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns, license_base, lm_base, media_payloads)
+    return {f.__name__: f for f in every}
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc32(codes: str) -> str:
+    """SQL for the CRC-32 of a list of byte values, bit by bit."""
+    step = "lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}), 4294967295::BIGINT)"
+
+
+_ID_CRC = _crc32("list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: ascii(x)::BIGINT)")
+
+_OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i + 1 : i + 4], ' '))) END AS s FROM w),
+e AS (SELECT r, hash(x) AS x FROM (SELECT r, unnest(s) AS x FROM s)),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM p JOIN s a ON a.r = p.a JOIN s b ON b.r = p.b WHERE 100 * n >= 85 * (len(a.s) + len(b.s) - n) AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL),
+g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(v, m) AS (SELECT doc_id, doc_id FROM s WHERE doc_id IS NOT NULL UNION SELECT g.b, t.m FROM t JOIN g ON g.a = t.v WHERE t.m < g.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m AS component_id FROM s LEFT JOIN (SELECT v, min(m) AS m FROM t GROUP BY 1) ON v = s.doc_id"""
+
+_OP3 = """WITH RECURSIVE e AS (SELECT vec_id, label, CASE WHEN label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS v, row_number() OVER () AS r FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b, a.r AS ra FROM e a JOIN e b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+t(v, m) AS (SELECT vec_id, vec_id FROM e WHERE vec_id IS NOT NULL UNION SELECT l.b, t.m FROM t JOIN l ON l.a = t.v WHERE t.m < l.b)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, m AS component_id, coalesce(e.vec_id = m, false) AS kept FROM e LEFT JOIN (SELECT ra, count(*) AS n FROM l GROUP BY 1) k ON k.ra = e.r LEFT JOIN (SELECT v, min(m) AS m FROM t GROUP BY 1) c ON c.v = e.vec_id"""
+
+# Places of each phrase: (first word, further words, label).
+_PLACES = " || ".join(f"list_transform(list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {x!r}' for k, x in enumerate(phrase.split()))}), lambda i: struct_pack(i := i, label := {label!r}))" for phrase, label in license_scan.BASE)
+_BASE4 = f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(list_transform(p, lambda x: x.i)) AS first_word, list_max(list_transform(p, lambda x: x.i)) AS last_word,
+array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels FROM (SELECT doc_id, w, {_PLACES} AS p FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents))"""
+
+_BASE5 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ID_CRC} % 7 = 2 AS held_out, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') || [' '] AS w FROM documents),
+t AS (SELECT r, held_out, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / CAST(n.n + n.v + 1 AS DOUBLE))) AS s FROM t LEFT JOIN c ON c.x = t.x CROSS JOIN n GROUP BY 1)
+SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, CAST(round(s * 1000000) AS BIGINT) AS base_micro FROM d JOIN s ON s.r = d.r CROSS JOIN n"""
+
+# Stored are NPY files of up to 256 rows of 64 samples, each with a header of 128 bytes.
+_MEDIA10 = f"""SELECT doc_id, octet_length(b) AS n_bytes, octet_length(p) AS payload_bytes, sha256(p) AS payload_sha256,
+{_crc32("list_transform(range(64), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))")} AS tail_crc32, CAST(octet_length(p) + 128 * ceil(octet_length(p) / 64 / 256.0) AS BIGINT) AS media_bytes
+FROM (SELECT doc_id, b, p, right(hex(p), 128) AS h FROM (SELECT doc_id, b, b || unhex(repeat('00', CAST(greatest(64, 64 * CAST(ceil(octet_length(b) / 64.0) AS BIGINT)) - octet_length(b) AS BIGINT))) AS p FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)))"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": _OP1, "op3_embedding_dedup": _OP3, "license_base": _BASE4, "lm_base": _BASE5, "media_payloads": _MEDIA10}
