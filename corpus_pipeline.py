@@ -25,7 +25,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of Jaccard similarity 0.8 over five-word shingles connect, the one with the smallest id stays."""
+    """Of documents that links of Jaccard similarity 0.8 over five-word shingles connect, the one with the smallest id stays.
+
+    An id stands for one document: rows that repeat it stay or go together. Rows without an id, and texts without words, stay.
+    """
     classes = ngram_join.similar_classes(docs, width=5, percent=80)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
