@@ -116,6 +116,51 @@ def test_lm_weights_are_refined_within_short_texts(monkeypatch):
     assert refined < 0.99 * lm_mixing.total_bits(data, start, tables)[0]
 
 
+def test_lm_gates_are_learned_from_texts_not_counted_yet():
+    rnd = random.Random(3)
+    words_ = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(200)]
+    texts = [" ".join(rnd.choice(words_) for _ in range(60)).encode() + b"\0" for _ in range(120)]
+    parts = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])[:-1]) for t in (texts[:50], texts[50:90], texts[90:])]
+    counts = np.zeros((lm_mixing.INPUTS, 2 << lm_mixing.SLOT_BITS), np.uint32)
+    lm_mixing.count_bits(*parts[0], counts)
+    gates = np.full((lm_mixing.GATES, lm_mixing.INPUTS), lm_mixing.START)
+    seen = lm_mixing.fit_gates(*parts[1], counts, gates)
+    assert abs(seen[0] - len(parts[1][0])) < 1 and (seen[1:] <= seen[:-1]).all()
+    tables = lm_mixing.stretched(counts)
+    assert lm_mixing.total_bits(*parts[2], tables, gates).sum() < 0.97 * lm_mixing.total_bits(*parts[2], tables).sum()
+
+
+def slow_bits(text, tables, gates):
+    """One decision after the other, in plain Python: contexts by slices of the text, weights renewed at the ends of blocks."""
+    weights, out = np.array(gates, np.float64), -math.log2(1 - 2.0**-lm_mixing.NUL_BITS) + lm_mixing.NUL_BITS * text[:-1].count(0)
+    ctx = [np.array([lm_mixing.contexts(np.frombuffer(text[: i + 1], np.uint8), np.array([0]))[k][i] for i in range(len(text))], np.uint32) for k in range(lm_mixing.INPUTS)]
+    at, size, k = 0, lm_mixing.BLOCK, 0
+    while at < len(text):
+        grad, n = np.zeros_like(weights), np.zeros(lm_mixing.GATES)
+        for i in range(at, min(at + size, len(text))):
+            for j in range(lm_mixing.LENGTH[text[i]]):
+                node, bit = lm_mixing.NODE[j][text[i]], int(lm_mixing.BIT[j][text[i]])
+                x = np.array([tables[q][int(lm_mixing._slots(ctx[q][i : i + 1], np.array([node], np.uint32), tables.shape[1])[0])] for q in range(lm_mixing.INPUTS)])
+                p = 1 / (1 + math.exp(-float(weights[j] @ x)))
+                out -= math.log2(p if bit else 1 - p)
+                grad[j] += (bit - p) * x
+                n[j] += 1
+        for j in np.flatnonzero(n):
+            weights[j] += lm_mixing.RATE / (n[j] + 16) * grad[j]
+        at, k = at + size, k + 1
+        size = min(size * 2 if k % 2 == 0 else size, lm_mixing.LARGEST)
+    return out
+
+
+def test_lm_bits_equal_a_slow_coder():
+    rnd = np.random.default_rng(6)
+    tables = rnd.normal(0, 1.5, (lm_mixing.INPUTS, 1 << lm_mixing.SLOT_BITS))
+    gates = rnd.normal(0.4, 0.2, (lm_mixing.GATES, lm_mixing.INPUTS))
+    texts = [b"the cat sat, don't you know: \0 and more. " * k + b"\0" for k in (0, 1, 3, 12)]
+    data, start = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
+    assert np.allclose(lm_mixing.total_bits(data, start, tables, gates), [slow_bits(t, tables, gates) for t in texts], rtol=0.01)
+
+
 def test_lm_cost_depends_on_the_text_alone():
     rnd = np.random.default_rng(0)
     texts = [bytes(rnd.integers(97, 101, n, dtype=np.uint8)) + b"\0" for n in (5, 3000, 700, 0)]
