@@ -14,7 +14,7 @@ number of documents:
 
 CUTS gives the cuts and numbers of groups of which the one that needs the fewest sequences is taken. An eighth of the capacity suits
 tables of a few lengths that fill sequences together. Where lengths are spread, its configurations fill sequences so tightly that what they leave is
-too little for any document (0.2 % over the volume's bound on the test tables), and a third needs 0.01 % over the bound at most.
+too little for any document (0.2 % over the volume's bound on the test tables), and a third needs 0.02 % over the bound at most.
 
 The plan maps (length, rank among the pieces of this length) to (sequence, offset). Ranks are counted per lane and length, and a
 lane holds a bounded share of the rows, so that no length, however frequent, is ranked in one task.
