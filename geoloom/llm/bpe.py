@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from geoloom.llm import arrow
 
 #: Bytes, about, that each of the two generations of each of a Python worker's memos takes.
-REMEMBERED = 64 << 20
+REMEMBERED = 112 << 20
 #: Chunks and pieces over this many characters aren't remembered.
 LONG = 64
 
