@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, embedding_dedup, language_id, license_scan, lm_mixing, media_columns, ngram_join, packing, token_shards, toxicity
+from geoloom.llm import bpe, divergence, embedding_dedup, language_id, license_scan, lm_mixing, media_columns, ngram_join, packing, personal_data, resampling, token_shards, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,23 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_media_digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=10, least_words=20, n=1, buckets=10000, seed=2024).drop("n_words")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(_read(spark, sf_dir, "documents"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op13 that don't depend on its patterns."""
+    return op13_personal_data(spark, sf_dir).drop("spans")
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that don't depend on its rules."""
     return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -73,7 +90,7 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op5_lm_scoring, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns, license_base, lm_base, media_payloads)
+    every = (op1_ngram_jaccard_join, op2_token_binary, op3_embedding_dedup, op4_license_scan, op5_lm_scoring, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_bpe_round_trip, op10_media_columns, op11_source_divergence, op12_importance_resampling, op13_personal_data, pii_base, license_base, lm_base, media_payloads)
     return {f.__name__: f for f in every}
 
 
@@ -120,5 +137,48 @@ _MEDIA10 = f"""SELECT doc_id, octet_length(b) AS n_bytes, octet_length(p) AS pay
 FROM (SELECT doc_id, b, p, right(hex(p), 128) AS h FROM (SELECT doc_id, b, b || unhex(repeat('00', CAST(greatest(64, 64 * CAST(ceil(octet_length(b) / 64.0) AS BIGINT)) - octet_length(b) AS BIGINT))) AS p FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)))"""
 
 
+_OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, r, unnest(w) AS term FROM d), k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1), c AS (SELECT o.lang, source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY 1, 2, 3),
+g AS (SELECT e.lang, e.source, coalesce(v, 0) AS v, coalesce(sum(c.n), 0) AS n, any_value(l.n) AS ln FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN c ON c.lang = e.lang AND c.source = e.source LEFT JOIN l ON l.lang = e.lang GROUP BY 1, 2, 3),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (g.ln + g.v) AS q
+FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x) WHERE part = 'pair' OR rank <= 200"""
+
+_WORDS12 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_BYTES = "list_transform(range(octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+_OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS12} AS w FROM documents), o AS (SELECT r, unnest(w) AS x FROM d), b AS (SELECT unnest({_WORDS12}) AS x FROM benchmark),
+h AS (SELECT x, {_crc32(_BYTES)} % 10000 AS k FROM (SELECT x FROM o UNION SELECT x FROM b)), s AS (SELECT k, count(*) AS n FROM o JOIN h ON h.x = o.x GROUP BY 1), t AS (SELECT k, count(*) AS n FROM b JOIN h ON h.x = b.x GROUP BY 1),
+g AS (SELECT i AS k, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * (ss + 10000) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * (tt + 10000)))) AS BIGINT) AS gain
+FROM (SELECT unnest(range(10000)) AS i) LEFT JOIN s ON s.k = i LEFT JOIN t ON t.k = i CROSS JOIN (SELECT coalesce(sum(n), 0) AS ss FROM s) CROSS JOIN (SELECT coalesce(sum(n), 0) AS tt FROM t)),
+w AS (SELECT r, sum(gain) AS weight FROM o JOIN h ON h.x = o.x JOIN g ON g.k = h.k GROUP BY 1),
+e AS (SELECT d.r, doc_id, CAST(len(d.w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w ON w.r = d.r),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM y LEFT JOIN z ON z.r = y.r"""
+
+
+def _spans13(kind: str, form: str, check: str) -> str:
+    """Array of (start, stop) of a kind; the text's parts between matches and the matches give the places."""
+    parts = f"list_zip(string_split_regex(t, '{form}'), regexp_extract_all(t, '{form}'))"
+    placed = f"list_transform({parts}, lambda x, i: struct_pack(a := CAST(coalesce(list_sum(list_transform(({parts})[1:i-1], lambda y: length(y[1]) + length(y[2]))), 0) + length(x[1]) AS BIGINT), x := x[2]))"
+    kept = f"list_filter(list_filter({placed}, lambda s: s.x IS NOT NULL), lambda s: {check})"
+    return f"list_transform({kept}, lambda s: '{kind}:' || s.a || ':' || (s.a + length(s.x)))"
+
+
+_LUHN = "(list_sum(list_transform(string_split(reverse(regexp_replace(s.x, '[^0-9]', '', 'g')), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN CAST(c AS INT) > 4 THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0)"
+_KINDS13 = [
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "list_max(list_transform(string_split(s.x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255"),
+    ("card", "[0-9](?:[\\x20-]?[0-9])+", f"length(regexp_replace(s.x, '[^0-9]', '', 'g')) BETWEEN 16 AND 19 AND {_LUHN}"),
+    ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "length(regexp_replace(s.x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
+]
+_BASE13 = f"""SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k, _, _ in _KINDS13)}, sha256(array_to_string({" || ".join(k for k, _, _ in _KINDS13)}, ',')) AS base_sha256
+FROM (SELECT doc_id, {", ".join(f"{_spans13(*x)} AS {x[0]}" for x in _KINDS13)} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1, "op3_embedding_dedup": _OP3, "license_base": _BASE4, "lm_base": _BASE5, "media_payloads": _MEDIA10}
+    return {"op1_ngram_jaccard_join": _OP1, "op3_embedding_dedup": _OP3, "op11_source_divergence": _OP11, "op12_importance_resampling": _OP12, "pii_base": _BASE13, "license_base": _BASE4, "lm_base": _BASE5, "media_payloads": _MEDIA10}
