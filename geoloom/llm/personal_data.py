@@ -3,8 +3,8 @@
 Base spans are the places of four fixed forms (e-mail addresses, IP addresses, card numbers, telephone numbers), leftmost and
 non-overlapping per kind, that pass their kind's check. They are the seeds.
 
-Method. Every text's identifier-like places (chains of words with digits or an at sign) are slots. A slot that overlaps a base span is a seed
-of that span's kind, all others are unknown. A slot's lexical patterns are the two words before it, the word before it and the word
+Method. Every text's identifier-like places (chains of words with digits or an at sign) are slots. A slot that holds a base form is a seed
+of that kind, all others are unknown. A slot's lexical patterns are the two words before it, the word before it and the word
 after it, each together with the slot's build (holds an at sign; digits with signs between; letters and digits). Patterns and instances
 (the slots' texts) form a graph, one edge a pair however often it occurs, so copies of a document add nothing. Spark scores it in ROUNDS rounds:
 a pattern's score for a kind is the share of its instances that are of the kind, SMOOTH added below, and counts from SUPPORT such instances
@@ -16,7 +16,7 @@ Edges meet scores by joins that split frequent patterns over SPLIT parts; only s
 to the shared folder.
 
 A null or empty text has no spans. Ids may be null or repeated: rows that share id and text are alike, each gives one row. Places are code
-points, ends exclusive. Matching is linear in a text's length, places are found by one sweep. Empty tables give no rows.
+points, ends exclusive. Matching is linear in a text's length. Empty tables give no rows.
 Other columns aren't read.
 """
 
@@ -46,34 +46,48 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _GATES = {"email": "[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 
 #: Identifier-like places: words with a digit or an at sign, and those of digits and signs that follow them.
-SLOT = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[\x20-][(\[]?+[0-9][0-9()./:-]*+(?!\S))*+"
+SLOT = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:(?<![,;:.!?])[\x20-][(\[]?+[0-9][0-9()./:-]*+[,;!?]*+(?!\S))*+"
 #: Rounds; instances that a pattern needs; what is added to its count; score from which on it tells a kind; parts of a frequent pattern.
 ROUNDS, SUPPORT, SMOOTH, LEAST, SPLIT = 3, 4, 1.0, 0.75, 16
 _NEAR = 64  # code points of context that are looked at
-_RUN = 256  # places that one list holds before the next is begun
+_RUN = 128  # places whose lengths are summed up together
 
 _SPANS = "array<struct<start:bigint,stop:bigint,before:string,text:string,after:string>>"
 
 
-def _push(done: Column, run: Column, x: Column) -> tuple[Column, Column]:
-    """Append to a list of runs: a run is closed at _RUN members, so that n appends copy few members each."""
-    full = F.size(run) >= _RUN
-    return F.when(full, F.concat(done, F.array(run))).otherwise(done), F.when(full, F.array(x)).otherwise(F.concat(run, F.array(x)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is computed once, also where the body is run for each member of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def places(text: Column, form: str) -> Column:
-    """Array of (start, stop, what lies before, text, what lies after) of all matches, from the lengths of what lies between and of themselves."""
-    gaps, found = F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    sized = F.filter(F.zip_with(F.arrays_zip(gaps.alias("before"), F.slice(gaps, 2, 1 << 30).alias("after")), found, lambda g, x: F.struct(g["before"].alias("before"), x.alias("text"), g["after"].alias("after"))), lambda x: x["text"].isNotNull())
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("done"), F.array().cast(_SPANS).alias("run"))
+    """Array of (start, stop, what lies before, text, what lies after) of all matches, from the lengths of what lies between and of themselves.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        stop = start + F.length(x["text"])
-        done, run = _push(acc["done"], acc["run"], F.struct(start.alias("start"), stop.alias("stop"), F.right(x["before"], F.lit(_NEAR)).alias("before"), x["text"].alias("text"), F.left(x["after"], F.lit(_NEAR)).alias("after")))
-        return F.struct(stop.alias("at"), done.alias("done"), run.alias("run"))
+    Lengths are summed up in runs of _RUN places, as Spark copies what a sum over an array has gathered at each member.
+    """
+    none = F.array().cast(_SPANS)
+    fields = lambda g, x: F.struct(g["before"].alias("before"), x.alias("text"), g["after"].alias("after"), (F.length(g["before"]) + F.length(x)).cast("bigint").alias("size"))
+    pieces = _let(F.split(text, form, -1), lambda gaps: F.zip_with(F.arrays_zip(gaps.alias("before"), F.slice(gaps, 2, 1 << 30).alias("after")), F.regexp_extract_all(text, F.lit(form), F.lit(0)), fields))
+
+    def in_runs(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(_RUN)), lambda k: F.slice(found, k + 1, _RUN))
+
+    def of(run: Column, before: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            stop = acc["at"] + x["size"]
+            one = F.struct((stop - F.length(x["text"])).alias("start"), stop.alias("stop"), F.right(x["before"], F.lit(_NEAR)).alias("before"), x["text"].alias("text"), F.left(x["after"], F.lit(_NEAR)).alias("after"))
+            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one).cast(_SPANS)).alias("out"))
+
+        return F.aggregate(run, F.struct(before.alias("at"), none.alias("out")), step)["out"]
 
-    return F.aggregate(sized, state, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["run"]))))
+    def placed(runs: Column) -> Column:
+        add = lambda a, x: a + x
+        zero = F.lit(0).cast("bigint")
+        totals = F.transform(runs, lambda run: F.aggregate(F.transform(run, lambda x: x["size"]), zero, add))
+        return _let(totals, lambda sums: F.flatten(F.transform(runs, lambda run, k: of(run, F.aggregate(F.slice(sums, 1, k), zero, add)))))
+
+    # The last piece has no match behind it.
+    return _let(F.filter(pieces, lambda x: x["text"].isNotNull()), lambda found: F.when(F.size(found) > 0, _let(in_runs(found), placed)).otherwise(none))
 
 
 def _digits(text: Column) -> Column:
@@ -81,16 +95,20 @@ def _digits(text: Column) -> Column:
 
 
 def _check(kind: str) -> Callable[[Column], Column]:
-    """What a span of the kind must fulfil."""
-    digits = lambda span: F.length(_digits(span["text"]))
+    """What a text of the kind's form must fulfil."""
+    digits = lambda x: F.length(_digits(x))
     return {
-        "email": lambda span: span["stop"] > span["start"],
-        "ip": lambda span: span["text"].rlike(rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"),
-        "card": lambda span: digits(span).between(16, 19) & F.call_function("luhn_check", _digits(span["text"])),
-        "phone": lambda span: digits(span).between(8, 15),
+        "email": lambda x: x.isNotNull(),
+        "ip": lambda x: x.rlike(rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"),
+        "card": lambda x: digits(x).between(16, 19) & F.call_function("luhn_check", _digits(x)),
+        "phone": lambda x: digits(x).between(8, 15),
     }[kind]
 
 
+def _passes(kind: str) -> Callable[[Column], Column]:
+    return lambda span: _check(kind)(span["text"])
+
+
 def _of(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
@@ -98,49 +116,20 @@ def _of(kind: str) -> Callable[[Column], Column]:
 def base_spans(text: Column) -> dict[str, Column]:
     """By kind, the array of (start, stop, text) of the fixed forms that pass their check."""
     none = F.array().cast(_SPANS)
-    return {k: F.when(text.rlike(_GATES[k]), F.filter(places(text, FORMS[k]), _check(k))).otherwise(none) for k in KINDS}
-
+    return {k: F.when(text.rlike(_GATES[k]), F.filter(places(text, FORMS[k]), _passes(k))).otherwise(none) for k in KINDS}
 
-_SLOT = _SPANS[:-2] + ",met:int>>"
 
-
-def _marked(slots: Column, base: list[Column]) -> Column:
-    """Slots with a bit for each kind of base spans they overlap, by one sweep over slots and base spans in order of their starts."""
-    none = F.lit(None).cast("string")
-    events = [F.transform(slots, lambda s: F.struct(s["start"].alias("start"), F.lit(-1).alias("kind"), s["stop"].alias("stop"), s["before"].alias("before"), s["text"].alias("text"), s["after"].alias("after")))]
-    seed = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop"), none.alias("before"), none.alias("text"), none.alias("after"))
-    events += [F.transform(spans, seed(k)) for k, spans in enumerate(base)]
-    state = F.struct(F.array(*[F.lit(-1).cast("bigint")] * len(base)).alias("reach"), F.lit(None).cast(_SLOT[6:-1]).alias("now"), F.array().cast(f"array<{_SLOT}>").alias("done"), F.array().cast(_SLOT).alias("run"))
-    fields = ("start", "stop", "before", "text", "after")
-
-    def step(acc: Column, e: Column) -> Column:
-        now = acc["now"]
-        bit = F.call_function("shiftleft", F.lit(1), e["kind"])
-        met = F.struct(*[now[f].alias(f) for f in fields], F.when(e["start"] < now["stop"], now["met"].bitwiseOR(bit)).otherwise(now["met"]).alias("met"))
-        reach = F.transform(acc["reach"], lambda x, k: F.when((k == e["kind"]) & (x < e["stop"]), e["stop"]).otherwise(x))
-        begun = sum((F.when(F.get(acc["reach"], F.lit(k)) > e["start"], F.lit(1 << k)).otherwise(F.lit(0)) for k in range(len(base))), F.lit(0))
-        fresh = F.struct(*[e[f].alias(f) for f in fields], begun.alias("met"))
-        done, run = _push(acc["done"], acc["run"], now)
-        first = now.isNull()
-        done, run = F.when(first, acc["done"]).otherwise(done), F.when(first, acc["run"]).otherwise(run)
-        seen = F.struct(reach.alias("reach"), F.when(~first, met).alias("now"), acc["done"].alias("done"), acc["run"].alias("run"))
-        return F.when(e["kind"] >= 0, seen).otherwise(F.struct(acc["reach"].alias("reach"), fresh.alias("now"), done.alias("done"), run.alias("run")))
-
-    out = lambda acc: F.filter(F.flatten(F.concat(acc["done"], F.array(acc["run"]), F.array(F.array(acc["now"])))), lambda s: s.isNotNull())
-    return F.aggregate(F.array_sort(F.concat(*events)), state, step, out)
-
-
-def _slots(text: Column, base: list[Column]) -> Column:
+def _slots(text: Column) -> Column:
     """Array of a text's slots: their place without enclosing signs, instance, kind as a seed ('several' if it holds more), and patterns."""
-    head, tail = r"^[\"'(\[<{=:,;.!?]*", r"[\"')\]>}=:,;.!?]*$"
+    # An opening bracket belongs to the slot if it is closed before the slot's end.
+    head, tail = r"^[\"'<{=:,;.!?]*(?:[(\[]+(?=[^)\]]*[)\]]*[\"',;:.!?]*$))?", r"[\"')\]>}=:,;.!?]*$"
 
     def of(s: Column) -> Column:
         before, after = F.lower(s["before"]), F.lower(s["after"])
         inner = F.regexp_replace(F.regexp_replace(s["text"], head, ""), tail, "")
         start = s["start"] + F.length(F.regexp_extract(s["text"], head, 0))
-        kind = F.when(s["met"] == 0, F.lit(None)).otherwise(F.lit("several"))
-        for k, name in enumerate(KINDS):
-            kind = F.when(s["met"] == 1 << k, F.lit(name)).otherwise(kind)
+        first = lambda k: _let(F.regexp_extract(s["text"], FORMS[k], 0), lambda x: F.when((x != "") & _check(k)(x), F.lit(k)))
+        kind = _let(F.array_compact(F.array(*map(first, KINDS))), lambda ks: F.when(F.size(ks) == 1, F.get(ks, F.lit(0))).when(F.size(ks) > 1, "several"))
         build = F.when(F.contains(s["text"], F.lit("@")), "at").when(inner.rlike(r"^[0-9()\[\]./:+\x20-]+$"), "digits").otherwise("mixed")
         words = F.array(
             F.concat_ws(" ", F.lit("<<"), F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)),
@@ -150,7 +139,7 @@ def _slots(text: Column, base: list[Column]) -> Column:
         patterns = F.transform(F.filter(words, lambda w: w.rlike(r"\p{L}")), lambda w: F.concat_ws(" ", build, F.regexp_replace(w, r"\s+", " ")))
         return F.struct(start.alias("start"), (start + F.length(inner)).alias("stop"), F.concat_ws(" ", build, F.lower(inner)).alias("instance"), kind.alias("kind"), patterns.alias("patterns"))
 
-    return F.filter(F.transform(_marked(places(text, SLOT), base), of), lambda s: s["stop"] - s["start"] >= 5)
+    return F.filter(F.transform(places(text, SLOT), of), lambda s: s["stop"] - s["start"] >= 5)
 
 
 def _scores(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -169,6 +158,19 @@ def _by_pattern(rows: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).join(copies, ["pattern", "part"]).drop("part")
 
 
+def _apart(spots: DataFrame, rows: DataFrame) -> DataFrame:
+    """Spots that overlap no base span of their text; both are dealt to cells of _NEAR code points, which few of either share."""
+    cells = F.explode(F.expr(f"sequence(start div {_NEAR}, (stop - 1) div {_NEAR})"))
+    texts = spots.select("doc_id", "digest").distinct().withColumnsRenamed({"doc_id": "same_id", "digest": "same_digest"})
+    same = F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("digest") == F.col("same_digest"))
+    base = rows.join(texts, same, "left_semi").select("doc_id", "digest", F.explode(F.concat(*KINDS)).alias("b")).distinct()
+    base = base.select(F.col("doc_id").alias("same_id"), F.col("digest").alias("same_digest"), F.col("b.start").alias("start"), F.col("b.stop").alias("stop")).withColumn("near", cells).withColumnsRenamed({"start": "from", "stop": "to"})
+    met = spots.withColumn("cell", cells).join(base, same & (F.col("cell") == F.col("near")) & (F.col("from") < F.col("stop")) & (F.col("to") > F.col("start")), "left_semi")
+    key = ["doc_id", "digest", "kind", "start", "stop"]
+    met = met.select(*key).distinct().withColumnsRenamed({k: f"met_{k}" for k in key})
+    return spots.join(met, [F.col(k).eqNullSafe(F.col(f"met_{k}")) for k in key], "left_anti")
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (array of kind, start, stop) and added (the same) for every row."""
     stash = arrow.Stash(df.sparkSession, "personal")
@@ -179,7 +181,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = rows.select("doc_id", F.when(gate, F.col("text")).alias("text"))
     base = base_spans(F.col("text"))
     rows = rows.select("*", *[F.when(F.col("text").isNotNull(), base[k]).otherwise(plain).alias(k) for k in KINDS])
-    slots = F.when(F.col("text").isNotNull(), _slots(F.col("text"), [F.col(k) for k in KINDS]))
+    slots = F.when(F.col("text").isNotNull(), _slots(F.col("text")))
     digest = F.when(F.col("text").isNotNull(), F.sha2("text", 256))
     bare = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k)
     rows = stash.keep(rows.select("doc_id", digest.alias("digest"), *[bare(k) for k in KINDS], slots.alias("slots")), "rows")
@@ -201,6 +203,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     spots = rows.where(F.exists("slots", lambda s: s["kind"].isNull())).select("doc_id", "digest", F.explode("slots").alias("s")).where("s.kind is null")
     spots = spots.select("doc_id", "digest", "s.start", "s.stop", "s.instance", F.explode("s.patterns").alias("pattern"))
     spots = _by_pattern(spots, scores).join(known.withColumnRenamed("kind", "known"), "instance").where("kind = known")
+    spots = _apart(spots.select("doc_id", "digest", "kind", "start", "stop").distinct(), rows)
     spots = spots.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
     spots = spots.withColumnsRenamed({"doc_id": "same_id", "digest": "same_digest"})
     out = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("digest") == F.col("same_digest")), "left")
