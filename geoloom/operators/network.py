@@ -91,8 +91,8 @@ def _nearest(points: DataFrame, nodes: DataFrame, point_id: str, far: Column, ce
 def street_edges(edges: DataFrame, mode: str) -> DataFrame:
     """(src, dst, metres) to search from areas: undirected on foot, reversed by car; the shortest of parallel edges."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("length_m").alias("metres"))
-    there = edges.select("src", "dst", F.col("length_m").alias("metres"))
-    both = back.unionByName(there) if mode == "walk" else back.unionByName(there.join(edges.where("not oneway").select("src", "dst"), ["src", "dst"], "left_semi"))
+    there = (edges if mode == "walk" else edges.where("not oneway")).select("src", "dst", F.col("length_m").alias("metres"))
+    both = back.unionByName(there)
     return both.groupBy("src", "dst").agg(F.min("metres").alias("metres"))
 
 

@@ -24,7 +24,8 @@ VIEWS = {
         CASE WHEN p_type LIKE 'PROMO%' THEN 'hospital' WHEN p_type LIKE 'SMALL%' AND p_size % 2 = 0 THEN 'school' END AS amenity, CASE WHEN p_type LIKE 'LARGE%' THEN 'park' END AS leisure,
         CASE WHEN p_size % 10 = 0 THEN CAST(p_size * 20 AS VARCHAR(20)) END AS capacity, p_name AS name, concat('NATION_', p_partkey % 25) AS neighbourhood, p_brand AS brand FROM {part}""",
     "f_edges": """SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey + 1 AS BIGINT) AS dst, CAST(100 + ((n_nationkey * 7 + (n_nationkey + 1) * 3) % 5) * 10 AS DOUBLE) AS length_m, n_nationkey % 4 = 0 AS oneway FROM {nation} WHERE n_nationkey % 5 < 4
-        UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey + 5 AS BIGINT), CAST(100 + ((n_nationkey * 7 + (n_nationkey + 5) * 3) % 5) * 10 AS DOUBLE), n_nationkey % 4 = 0 FROM {nation} WHERE n_nationkey < 20""",
+        UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey + 5 AS BIGINT), CAST(100 + ((n_nationkey * 7 + (n_nationkey + 5) * 3) % 5) * 10 AS DOUBLE), n_nationkey % 4 = 0 FROM {nation} WHERE n_nationkey < 20
+        UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey + 1 AS BIGINT), CAST(60 AS DOUBLE), true FROM {nation} WHERE n_nationkey % 5 < 4 AND n_nationkey % 3 = 1""",
     "f_nodes": "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST((n_nationkey % 5) * 100 AS DOUBLE) AS x, CAST(floor(n_nationkey / 5) * 100 AS DOUBLE) AS y FROM {nation}",
     "f_places": """SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN 'x' WHEN c_custkey % 23 = 0 THEN '0' ELSE CAST(39 + (c_custkey % 31) * 0.125 AS VARCHAR(20)) END AS lat,
         CASE WHEN c_custkey % 29 = 0 THEN '200' WHEN c_custkey % 23 = 0 THEN '0' ELSE CAST(27 + (c_custkey % 37) * 0.125 AS VARCHAR(20)) END AS lon FROM {customer}""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.catalog import query
 from geoloom.functions import geometry as geo
 from geoloom.functions import text
-from geoloom.operators import analytics, export, location, names, network, population, registry, rules, spatial
+from geoloom.operators import analytics, export, interchange, location, names, network, population, registry, rules, spatial
 from geoloom.plans import pipelines
 from geoloom.plans.fixtures import ensure_checkpoints, oracle, view
 
@@ -437,6 +437,36 @@ def p_median(spark, d):
     return got.summary.select("area_idx", "buildings", milli("mean_minutes").alias("mean_milli"))
 
 
+# All pairs of areas, priced by their nearest ways; weights are whole numbers, which rounding to tenths leaves alone.
+_WHOLE = "greatest(coalesce(area_m2, 0) * greatest(coalesce(levels, 4), 1), 1)"
+_TWO = f"SELECT i AS first, j AS second, CAST(round(cost * 1000) AS BIGINT) AS cost_milli FROM (SELECT a.area_idx AS i, b.area_idx AS j, sum(w * CAST(least(a.minutes, b.minutes) AS DOUBLE)) AS cost FROM ({_OD}) a JOIN ({_OD}) b ON a.building_idx = b.building_idx AND a.area_idx < b.area_idx JOIN (SELECT building_idx, {_WHOLE} AS w FROM f_buildings) w ON w.building_idx = a.building_idx GROUP BY 1, 2) ORDER BY cost LIMIT 1"
+
+
+@query("p_median_two", oracle(_TWO))
+def p_median_two(spark, d):
+    """The best two areas and their weighted minutes: all pairs are tried where there are few, else swaps."""
+    b = view(spark, d, "f_buildings").withColumn("area_m2", F.col("area_m2") * 40)
+    got = pipelines.place_areas(b, view(spark, d, "f_areas"), 2)
+    first, second = got.solution.open_areas
+    return got.assigned.agg(F.lit(first).cast("int").alias("first"), F.lit(second).cast("int").alias("second"), milli(F.sum(F.col("weight") * F.col("minutes").cast("double"))).alias("cost_milli"))
+
+
+# Savings of all swaps from an open set, by pricing both sets.
+_OPENED = [1, 4, 6]
+_BEST = f"SELECT o.building_idx, o.area_idx AS a, w * CAST(minutes AS DOUBLE) AS m, w FROM ({_OD}) o JOIN (SELECT building_idx, {_WEIGHT} AS w FROM f_buildings) w ON w.building_idx = o.building_idx"
+_SWAPS = f"""SELECT r, n.a, CAST(round((any_value(t.cost) - sum(least(n.m, k.m))) * 1000) AS BIGINT) AS saves_milli FROM ({_BEST}) n
+    JOIN (SELECT building_idx, r, min(m) AS m FROM ({_BEST}) JOIN (VALUES (1), (4), (6)) v(r) ON v.r <> a WHERE a IN (1, 4, 6) GROUP BY 1, 2) k ON k.building_idx = n.building_idx
+    CROSS JOIN (SELECT sum(m) AS cost FROM (SELECT building_idx, min(m) AS m FROM ({_BEST}) WHERE a IN (1, 4, 6) GROUP BY 1)) t WHERE n.a NOT IN (1, 4, 6) GROUP BY 1, 2"""
+
+
+@query("swap_savings", oracle(_SWAPS))
+def swap_savings(spark, d):
+    """What each swap of an open area for a closed one saves, all priced from one pass over the ways."""
+    b = view(spark, d, "f_buildings").withColumn("weight", population.estimate_population("area_m2", "levels"))
+    sums = interchange.price(interchange.ways(_od(spark, d), b), _OPENED, 120.0)
+    return interchange.savings(sums, _OPENED).select(F.col("r").cast("int").alias("r"), F.col("a").cast("int").alias("a"), milli("saves").alias("saves_milli"))
+
+
 _SPREAD = "SELECT *, CAST((id * 7919) % 10007 AS DOUBLE) AS px, CAST((id * 104729) % 10009 AS DOUBLE) AS py FROM f_features"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as geo
 from geoloom.functions import text
-from geoloom.operators import analytics, location, names, network, population, registry, rules, spatial
+from geoloom.operators import analytics, interchange, location, names, network, population, registry, rules, spatial
 
 # What a rule takes: all pairs of a strict set, a wildcard of one, a query pair, a name where the tags say nothing against it.
 POSITIVE = [
@@ -275,3 +275,68 @@ def test_components_of_long_ways(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(61), *range(100, 120), 200, 300]], "id long")
     got = dict(map(tuple, network.components(nodes, spark.createDataFrame(edges, "src long, dst long")).collect()))
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 + i // 2 * 2 for i in range(20)) and got[200] == 200 and got[300] == 300
+
+
+def test_parallel_oneway_streets(spark):
+    """A oneway street beside a two-way one of the same ends isn't opened against its direction."""
+    edges = spark.createDataFrame([(1, 2, 50.0, True), (1, 2, 100.0, False), (3, 2, 10.0, True)], "src long, dst long, length_m double, oneway boolean")
+    assert sorted(map(tuple, network.street_edges(edges, "drive").collect())) == [(1, 2, 100.0), (2, 1, 50.0), (2, 3, 10.0)]
+    assert sorted(map(tuple, network.street_edges(edges, "walk").collect())) == [(1, 2, 50.0), (2, 1, 50.0), (2, 3, 10.0), (3, 2, 10.0)]
+
+
+def test_reports_tell_the_solved_assignment():
+    rnd = np.random.default_rng(8)
+    for _ in range(60):
+        minutes, weights = rnd.integers(1, 30, (6, 4)).astype(float), rnd.integers(1, 9, 6).astype(float)
+        problem = location.Problem(minutes, weights, rnd.integers(8, 25, 4).astype(float))
+        for row in location.sensitivity(problem, [2, 3], method="exact"):
+            s = location.solve(problem, row["p"], method="exact")
+            if s.assignment is None:
+                continue
+            t = minutes[np.arange(6), s.assignment]
+            assert float((t * weights).sum()) == s.cost and row["unassigned"] == 0 and s.gap == 0.0
+            assert (row["cost"], row["mean"], row["max"]) == (round(s.cost, 2), round(t.mean(), 2), t.max())
+        for row in location.density_sweep(problem, rnd.integers(5, 40, 4).astype(float), 3, densities=(1.0,), least=5.0, method="exact"):
+            assert row["assigned"] + row["full"] == 6
+
+
+def long_table(spark, minutes):
+    n, m = minutes.shape
+    rows = [(i, 10 + a, float(minutes[i, a])) for i in range(n) for a in range(m) if np.isfinite(minutes[i, a])]
+    return spark.createDataFrame(rows, "building_idx int, area_idx int, minutes float")
+
+
+def test_interchange_equals_swaps_on_the_matrix(spark):
+    rnd = np.random.default_rng(4)
+    for seed, p in ((1, 3), (2, 4)):
+        minutes = rnd.uniform(1, 60, (60, 9)).astype(np.float32).astype(float)
+        minutes[rnd.random(minutes.shape) < 0.2] = np.inf
+        minutes[:2] = np.inf
+        weights = rnd.integers(0, 9, 60).astype(float)
+        demand = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "building_idx int, weight double")
+        od, problem = long_table(spark, minutes), location.Problem(minutes, weights)
+        rough = problem.heuristic(p)
+        got = interchange.locate(od, demand, p, first=True, bound_rounds=8)
+        assert got.open_areas == [a + 10 for a in rough.open_areas] and got.converged
+        assert np.allclose(got.trajectory, rough.trajectory)
+        least = min(problem.cost(s) for s in itertools.combinations(range(9), p))
+        assert got.bound <= least + 1e-6 and 0 <= got.gap < 0.5
+        steep = interchange.locate(od, demand, p, bound_rounds=0, restarts=2)
+        assert steep.cost >= least - 1e-6 and abs(problem.cost([a - 10 for a in steep.open_areas]) - steep.cost) < 1e-6
+        sums = interchange.price(interchange.ways(od, demand), [10, 13, 15], 120.0)
+        now = problem.cost([0, 3, 5])
+        for r in interchange.savings(sums, [10, 13, 15]).collect():
+            after = problem.cost([a for a in (0, 3, 5) if a != r.r - 10] + [r.a - 10])
+            assert abs(now - after - r.saves) < 1e-6
+
+
+def test_interchange_of_few_areas_and_none(spark):
+    demand = spark.createDataFrame([(0, 1.0), (1, None), (2, 3.0)], "building_idx int, weight double")
+    od = spark.createDataFrame([(0, 5, 4.0), (2, 5, 6.0), (2, 6, 2.0)], "building_idx int, area_idx int, minutes float")
+    got = interchange.locate(od, demand, 7, limit=10.0)
+    assert (got.open_areas, got.cost) == ([5, 6], 4.0 + 6.0) and got.bound <= got.cost
+    assert interchange.locate(od, demand, 1, limit=3.0).open_areas == [6]
+    with pytest.raises(ValueError):
+        interchange.locate(od.limit(0), demand, 1)
+    with pytest.raises(ValueError):
+        interchange.locate(od, demand, 0)
