@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -179,3 +179,34 @@ def latest_files(files: DataFrame, key: str = "place", path: str = "path") -> Da
     """The last path by name of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(path)))
     return files.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
+_POINT = "struct<lat:double,lon:double>"
+_ANSWER = f"elements array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<{_POINT}>,members:array<struct<type:string,role:string,geometry:array<{_POINT}>>>>>"
+
+
+def _place(path: Column | str) -> Column:
+    return slug(F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1))
+
+
+def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
+    """Neighbourhood polygons of stored map server answers: place, element, id, neighbourhood_name, part, rings, open_ways.
+
+    Closed ways and relations are taken; ways of a relation are joined at their ends. Coordinates stay degrees (x is the longitude). What
+    closes no ring has null rings.
+    """
+    from geoloom.operators.overlay import assemble
+
+    raw = spark.read.text(path, wholetext=True).select(_place(F.input_file_name()).alias("place"), F.explode(F.from_json("value", _ANSWER)["elements"]).alias("e"))
+    rows = raw.where("e.type in ('way', 'relation')").select(F.concat_ws("/", "place", "e.type", F.col("e.id").cast("string")).alias("key"), "place", F.col("e.type").alias("element"), F.col("e.id").alias("id"), F.try_element_at("e.tags", F.lit("name")).alias("neighbourhood_name"), "e.geometry", "e.members")
+    lines = F.when(F.col("element") == "way", F.array("geometry")).otherwise(F.transform(F.filter("members", lambda m: m["type"] == "way"), lambda m: m["geometry"]))
+    ways = rows.select("key", F.explode_outer(lines).alias("w")).select("key", F.transform("w", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("points"))
+    return rows.drop("geometry", "members").join(assemble(ways, "key"), "key").drop("key")
+
+
+def boundary_status(spark: SparkSession, path: str, boundaries: DataFrame) -> DataFrame:
+    """One row a stored answer: place, features, polygons, and the error where it holds no polygon."""
+    files = spark.read.format("binaryFile").load(path).select(_place("path").alias("place")).distinct()
+    got = boundaries.groupBy("place").agg(F.countDistinct("element", "id").alias("features"), F.count("rings").alias("polygons"))
+    out = files.join(got, "place", "left").na.fill(0, ["features", "polygons"])
+    return out.withColumn("error", F.when(F.col("polygons") == 0, "no polygon"))
