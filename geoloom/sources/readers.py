@@ -126,9 +126,9 @@ def read_loose_csv(spark: SparkSession, path: str, hints: tuple[str, ...] = ("la
     return out
 
 
-def standard_columns(rows: DataFrame, roles: list[str]) -> DataFrame:
-    """The roles' columns under fixed names, null where no alias is found."""
-    return rows.select(*[(F.col(f"`{c}`") if (c := pick_column(rows.columns, r)) else F.lit(None).cast("string")).alias(r) for r in roles])
+def standard_columns(rows: DataFrame, roles: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The roles' columns under fixed names, null where no alias is found; those to keep as they are."""
+    return rows.select(*(keep or []), *[(F.col(f"`{c}`") if (c := pick_column(rows.columns, r)) else F.lit(None).cast("string")).alias(r) for r in roles])
 
 
 def pick_sheet(tables: dict[str, DataFrame]) -> str:
