@@ -1,8 +1,9 @@
 """Spatial joins and area derivation.
 
-Polygons are few or many: they are dealt to grid cells that their boxes touch, points to the one cell they lie in, and
-an equi-join on cells with an exact test behind it replaces the nested loop. Nothing is broadcast on trust; Spark may
-still broadcast a side whose size it knows.
+Polygons are few or many, small or large: each is dealt to the cells, four at most, that its box touches in a grid whose cells are as wide
+as the box is; points look into one cell of each of these grids, and an equi-join with an exact test behind it replaces the nested loop.
+Points outside of everything go down a tree of the polygons' boxes and keep the branches that can hold the nearest one. Nothing is
+broadcast on trust; Spark may still broadcast a side whose size it knows.
 """
 
 from __future__ import annotations
@@ -31,16 +32,28 @@ def cell_size(polygons: DataFrame, rings: str = "rings") -> float:
     return max(2 * side, 1e-9) if side else 1.0
 
 
-def containing(points: DataFrame, polygons: DataFrame, point_id: str, cell: float | None = None) -> DataFrame:
+def with_levels(polygons: DataFrame, rings: str) -> DataFrame:
+    """One row per polygon and cell its box touches in the grid of its size: level (cells are 2^level wide), cx, cy; four rows at most."""
+    b = geo.bounds(F.col(rings))
+    side = F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"], F.lit(1e-9))
+    out = polygons.where(F.size(rings) > 0).withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    at = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    return out.withColumn("cx", F.explode(F.sequence(at(b["x0"]), at(b["x1"])))).withColumn("cy", F.explode(F.sequence(at(b["y0"]), at(b["y1"]))))
+
+
+def containing(points: DataFrame, polygons: DataFrame, point_id: str) -> DataFrame:
     """Each point with each polygon that holds it or on whose boundary it lies.
 
     points: point_id, x, y; polygons: poly_id, poly_ord, rings and what else is wanted. Adds tier 1 (strictly inside) or 2 (on the
     boundary).
     """
-    cell = cell or cell_size(polygons)
-    p = points.select(point_id, "x", "y").withColumn("cx", F.floor(F.col("x") / F.lit(cell))).withColumn("cy", F.floor(F.col("y") / F.lit(cell)))
+    dealt = with_levels(polygons, "rings")
+    levels = [r.level for r in dealt.select("level").distinct().collect()]  # powers of two: some dozens at most
+    level = F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level")
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
     # A point on a cell's edge belongs to one cell, and a box that ends there touches this cell too.
-    joined = p.join(with_cells(polygons, "rings", cell), ["cx", "cy"]).drop("cx", "cy")
+    p = points.select(point_id, "x", "y", level).withColumn("cx", at("x")).withColumn("cy", at("y"))
+    joined = p.join(dealt, ["level", "cx", "cy"]).drop("level", "cx", "cy")
     edge = geo.on_boundary(F.col("x"), F.col("y"), F.col("rings"))
     tier = F.when(edge, 2).when(geo.inside(F.col("x"), F.col("y"), F.col("rings")), 1)
     return joined.withColumn("tier", tier).where("tier is not null")
@@ -65,11 +78,43 @@ def assign_neighbourhoods(points: DataFrame, polygons: DataFrame, point_id: str,
     return out.unionByName(near.select(*points.columns, "neighbourhood", F.lit(OUTSIDE).alias("boundary_status")))
 
 
+#: Levels of the tree of boxes at most; a leaf holds about LEAF polygons where they are spread evenly.
+DEPTH, LEAF = 12, 4
+
+
 def nearest_polygon(points: DataFrame, polygons: DataFrame, point_id: str, name: str) -> DataFrame:
-    """Left-over points (few, outside of everything) with the nearest polygon, by distance to its boundary."""
-    d = geo.distance(F.col("x"), F.col("y"), F.col("rings"))
-    pairs = points.select(point_id, "x", "y").join(polygons.select("poly_ord", name, "rings"), F.lit(True), "cross")
-    near = pairs.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), "poly_ord", F.col(name).alias("n"))).alias("b"))
+    """Points with the nearest polygon, by distance to its boundary, ties to the first in order; adds neighbourhood.
+
+    Polygons are leaves of a tree of cells by the middles of their boxes, and each cell knows the box around all its polygons. A point goes down level
+    by level and keeps the cells whose box begins no farther away than the nearest cell's box ends, so it meets few polygons however many there are.
+    """
+    b = geo.bounds(F.col("rings"))
+    boxes = polygons.where(F.size("rings") > 0).select("poly_ord", F.col(name).alias("n"), "rings", *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+    boxes = boxes.withColumn("mx", (F.col("x0") + F.col("x1")) / 2).withColumn("my", (F.col("y0") + F.col("y1")) / 2)
+    s = boxes.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("mx", "my") for k, f in (("low", F.min), ("high", F.max))]).first()
+    depth = 0
+    while depth < DEPTH and 4**depth * LEAF < s.n:
+        depth += 1
+    side = max((s.high_mx or 0.0) - (s.low_mx or 0.0), (s.high_my or 0.0) - (s.low_my or 0.0), 1e-9) * (1 + 1e-9)
+    at = lambda c, low, k: F.floor((F.col(c) - F.lit(low or 0.0)) / F.lit(side / 2**k)).cast("long")
+    leaves = boxes.withColumn("cx", at("mx", s.low_mx, depth)).withColumn("cy", at("my", s.low_my, depth))
+    small = leaves.groupBy("cx", "cy").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    at_level = lambda k: small.groupBy(F.shiftright("cx", depth - k).alias("cx"), F.shiftright("cy", depth - k).alias("cy")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    zero = F.lit(0.0)
+    gap = lambda p, low, high: F.greatest(F.col(low) - F.col(p), zero, F.col(p) - F.col(high))
+    far = lambda p, low, high: F.greatest(F.abs(F.col(p) - F.col(low)), F.abs(F.col(p) - F.col(high)))
+    kept = points.select(point_id, F.col("x").alias("px"), F.col("y").alias("py"))
+    for k in range(min(depth, 3), depth + 1):
+        cells = at_level(k)
+        if k <= 3:  # 64 cells at most
+            down = kept.join(F.broadcast(cells), F.lit(True))
+        else:
+            down = kept.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(cells.withColumn("ux", F.shiftright("cx", 1)).withColumn("uy", F.shiftright("cy", 1)), ["ux", "uy"])
+        down = down.withColumn("near", F.hypot(gap("px", "x0", "x1"), gap("py", "y0", "y1"))).withColumn("far", F.hypot(far("px", "x0", "x1"), far("py", "y0", "y1")))
+        least = F.min("far").over(Window.partitionBy(point_id))
+        kept = down.withColumn("least", least).where(F.col("near") <= F.col("least") * (1 + 1e-9) + 1e-9).select(point_id, "px", "py", "cx", "cy")
+    met = kept.join(leaves.select("cx", "cy", "poly_ord", "n", "rings"), ["cx", "cy"])
+    near = met.groupBy(point_id).agg(F.min(F.struct(geo.distance(F.col("px"), F.col("py"), F.col("rings")).alias("d"), "poly_ord", "n")).alias("b"))
     return points.join(near, point_id, "left").withColumn("neighbourhood", F.col("b.n")).drop("b")
 
 

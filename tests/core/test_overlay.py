@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as geo
-from geoloom.operators import overlay
+from geoloom.operators import overlay, spatial
 from geoloom.plans.fixtures import ensure_checkpoints
 from geoloom.sources import readers
 
@@ -122,3 +122,36 @@ def test_stored_boundaries(spark, tmp_path):
     assert got == {("relation", 7): ("Moda", 0, 0.00005, 0), ("way", 8): ("Park", 0, 4.0, 0), ("relation", 9): (None, None, None, 1)}
     status = {r.place: (r.features, r.polygons, r.error) for r in readers.boundary_status(spark, str(tmp_path / "*.json"), rows).collect()}
     assert status == {"kadikoy": (3, 2, None), "empty": (0, 0, "no polygon")}
+
+
+def test_points_meet_polygons_of_all_sizes(spark):
+    """A district over many houses, points on corners, nearest polygons from near and far, against all pairs."""
+    rnd = np.random.default_rng(12)
+    shapes = [(0, 0, "district", [square(0, 0, 1000)]), (1, 1, "next", [square(1000, 0, 1000)])]
+    shapes += [(k, k, f"house {k}", [square(*rnd.integers(0, 990, 2), int(rnd.integers(1, 10)))]) for k in range(2, 200)]
+    polygons = spark.createDataFrame(shapes, f"poly_id int, poly_ord int, neighbourhood_name string, rings {geo.POLYGON}")
+    assert spatial.with_levels(polygons, "rings").groupBy("poly_id").count().agg(F.max("count")).first()[0] <= 4
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate([*rnd.integers(-40, 1040, (150, 2)), (0, 0), (1000, 500), (2000, 1000), (-90000, 4), (1e7, -1e7), (1500, 2500)])]
+    points = spark.createDataFrame(places, "k int, x double, y double")
+    got = {(r.k, r.poly_id): r.tier for r in spatial.containing(points, polygons, "k").collect()}
+    want = {}
+    for k, x, y in places:
+        for i, _, _, (r,) in shapes:
+            a, b = (r[0]["x"], r[0]["y"]), (r[2]["x"], r[2]["y"])
+            if a[0] <= x <= b[0] and a[1] <= y <= b[1]:
+                want[k, i] = 1 if a[0] < x < b[0] and a[1] < y < b[1] else 2
+    assert got == want
+    houses = polygons.where("poly_id > 1")
+    found = {r.k: r.neighbourhood for r in spatial.nearest_polygon(points, houses, "k", "neighbourhood_name").collect()}
+
+    def away(x, y, r):
+        a, b = (r[0]["x"], r[0]["y"]), (r[2]["x"], r[2]["y"])
+        inside = min(x - a[0], b[0] - x, y - a[1], b[1] - y)
+        return inside if inside > 0 else np.hypot(max(a[0] - x, 0, x - b[0]), max(a[1] - y, 0, y - b[1]))
+
+    for k, x, y in places:
+        least = min(away(x, y, r) for i, _, _, (r,) in shapes if i > 1)
+        assert found[k] == f"house {next(i for i, _, _, (r,) in shapes if i > 1 and away(x, y, r) <= least + 1e-9)}"
+    assert {r.neighbourhood for r in spatial.nearest_polygon(points.limit(3), polygons.limit(0), "k", "neighbourhood_name").collect()} == {None}
+    plan = spatial.assign_neighbourhoods(points, polygons, "k")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
