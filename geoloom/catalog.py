@@ -26,12 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from geoloom.plans import books, cells, registered, shapes  # noqa: F401  register on import
+    from geoloom.plans import audits, books, cells, registered, shapes  # noqa: F401  register on import
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from geoloom.plans import books, cells, registered, shapes  # noqa: F401
+    from geoloom.plans import audits, books, cells, registered, shapes  # noqa: F401
 
     return dict(_ORACLES)

@@ -166,3 +166,48 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """b minus a of one value by key."""
     return a.select(key, F.col(value).alias("first")).join(b.select(key, F.col(value).alias("second")), key, "full").withColumn("delta", F.col("second") - F.col("first"))
+
+
+def select_values(df: DataFrame, chosen: dict[str, list]) -> DataFrame:
+    """Rows whose columns each hold one of the chosen values; a column without any chosen value doesn't filter, None stands for null."""
+    for c, values in chosen.items():
+        if values:
+            some = F.col(f"`{c}`").isin([v for v in values if v is not None])
+            df = df.where(some | F.col(f"`{c}`").isNull() if None in values else some)
+    return df
+
+
+def count_values(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """One row: how many rows hold one of the values (trimmed, small letters), and how many there are."""
+    hit = F.lower(F.trim(F.col(column))).isin(values)
+    return df.agg(F.count_if(hit).alias("hits"), F.count("*").alias("n"))
+
+
+def preview(df: DataFrame, order: list, n: int = 8) -> DataFrame:
+    """The first rows by an order that is given, as tables have none of their own."""
+    return df.orderBy(*order).limit(n)
+
+
+def audit_order(df: DataFrame, value: str, *ties: str) -> DataFrame:
+    """Largest value first, rows without one last."""
+    return df.orderBy(F.desc_nulls_last(value), *ties)
+
+
+def sample_names(df: DataFrame, name: str, n: int = 10) -> DataFrame:
+    """One row: the number of distinct names and the first n of them in order. No list of all names is built."""
+    names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    first = names.orderBy("name").limit(n).agg(F.array_sort(F.collect_list("name")).alias("first"))
+    return names.agg(F.count("*").alias("n")).join(first, F.lit(True), "cross")  # one row each
+
+
+def shape_counts(df: DataFrame, rings: str = "rings", x: str = "x") -> DataFrame:
+    """One row: features with polygons, with a point only, with neither."""
+    polygon = F.coalesce(F.size(rings) > 0, F.lit(False))
+    point = ~polygon & F.col(x).isNotNull()
+    return df.agg(F.count_if(polygon).alias("polygons"), F.count_if(point).alias("points"), F.count_if(~polygon & ~point).alias("bare"))
+
+
+def split_open(areas: DataFrame, opened: DataFrame, key: str = "area_idx") -> tuple[DataFrame, DataFrame]:
+    """(open, closed) areas."""
+    names = opened.select(key).distinct()
+    return areas.join(names, key, "left_semi"), areas.join(names, key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as geo
 from geoloom.functions import text
-from geoloom.operators import analytics, interchange, location, names, network, population, registry, rules, spatial
+from geoloom.operators import analytics, interchange, location, names, network, population, registry, rules, signatures, spatial
 
 # What a rule takes: all pairs of a strict set, a wildcard of one, a query pair, a name where the tags say nothing against it.
 POSITIVE = [
@@ -340,3 +340,29 @@ def test_interchange_of_few_areas_and_none(spark):
         interchange.locate(od.limit(0), demand, 1)
     with pytest.raises(ValueError):
         interchange.locate(od, demand, 0)
+
+
+def test_fingerprints(spark):
+    rows = [(1, "a", None, [1, 2]), (2, "", 3.5, []), (2, "", 3.5, []), (None, None, 1.0, None)]
+    make = lambda r, n: spark.createDataFrame(r, "k int, s string, d double, l array<int>").repartition(n)
+    of = lambda r, n=1: tuple(signatures.fingerprint(make(r, n)).first())
+    base = of(rows)
+    assert base == of(rows[::-1], 3) and base[0] == 4
+    assert len({base, of(rows[:3]), of(rows[:2] + rows[3:]), of([(1, "a", None, [2, 1]), *rows[1:]]), of([(1, "a", 0.0, [1, 2]), *rows[1:]]), of([*rows[:3], (None, "", 1.0, None)])}) == 6
+    assert of([(1, "x|1:y", None, None)]) != of([(1, "x", None, None)])
+    assert of([]) == (0, "0", 0)
+    got = dict(map(tuple, signatures.changes(make(rows, 2), make([(2, "", 3.5, []), (2, "", 3.5, []), (None, None, 2.0, None), (9, "z", None, None)], 3), "k").collect()))
+    assert got == {1: "removed", 2: "same", None: "changed", 9: "added"}
+    assert signatures.settings_diff({"p": 3, "limit": None, "x": 0.5, "same": [1]}, {"p": 4, "x": 0.50001, "same": [1], "new": "a"}) == [("new", "-", "a"), ("p", "3", "4")]
+
+
+def test_small_audits(spark):
+    rows = spark.createDataFrame([(1, " School ", 2.0), (2, None, None), (3, "yes", 5.0), (4, "office", None)], "k int, b string, v double")
+    assert [r.k for r in analytics.select_values(rows, {"b": ["yes", None], "v": []}).orderBy("k").collect()] == [2, 3]
+    assert tuple(analytics.count_values(rows, "b", population.NON_RESIDENTIAL).first()) == (2, 4)
+    assert [r.k for r in analytics.audit_order(rows, "v", "k").collect()] == [3, 1, 2, 4]
+    assert [r.k for r in analytics.preview(rows, ["k"], 2).collect()] == [1, 2]
+    assert tuple(analytics.sample_names(rows, "b", 2).first()) == (3, [" School ", "office"])
+    assert tuple(analytics.sample_names(rows.limit(0), "b").first()) == (0, [])
+    opened, closed = analytics.split_open(rows, rows.where("k > 2"), "k")
+    assert sorted(r.k for r in opened.collect()) == [3, 4] and sorted(r.k for r in closed.collect()) == [1, 2]
