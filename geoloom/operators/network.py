@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions.geometry import planar_distance
+from geoloom.sources.stored import Stored
 
 # Speed in km/h and detour factor by mode.
 SPEED, DETOUR = {"walk": 4.8, "drive": 30.0}, {"walk": 1.4, "drive": 1.25}
@@ -47,8 +48,10 @@ def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, cell: float
 
 def nearest_planar(buildings: DataFrame, areas: DataFrame, mode: str = "walk", speed: float | None = None, detour: float | None = None) -> DataFrame:
     """The rows of nearest_area(planar_od(...)) without the table of all pairs: each building meets the areas in cells around it."""
-    size = areas.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    cell = max(((size[1] or 0.0) * (size[2] or 0.0) / max(size[0], 1)) ** 0.5, 1e-3)
+    # The room of the middle nine tenths each way, so that outlying areas don't widen the cells.
+    span = lambda c: F.percentile_approx(c, 0.95) - F.percentile_approx(c, 0.05)
+    size = areas.agg(F.count("*"), span("x"), span("y")).first()
+    cell = max(((size[1] or 0.0) * (size[2] or 0.0) / max(0.8 * size[0], 1)) ** 0.5, 1e-3)
     metres = planar_distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) * F.lit(detour or DETOUR.get(mode, 1.4))
     minutes = (metres / F.lit((speed or SPEED[mode]) * 1000 / 60)).cast("float")
     got = _nearest(buildings.select("building_idx", "x", "y"), areas.select(F.col("area_idx").alias("id"), "x", "y"), "building_idx", minutes, cell)
@@ -59,8 +62,10 @@ def _nearest(points: DataFrame, nodes: DataFrame, point_id: str, far: Column, ce
     """(point_id, b: the smallest struct of `far`, an increasing function of the distance, and node).
 
     Points look into the nine cells around them. Who finds nothing there that is surely the nearest tries again in cells four times as wide;
-    when a cell is wider than all points and nodes together, everyone has found it, so no point ever meets all nodes but there.
+    when a cell is wider than all points and nodes together, everyone has found it, so no point ever meets all nodes but there. Each round's
+    finds are stored, so that no round is computed again.
     """
+    stored = Stored(points.sparkSession, "nearest")
     bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
     a, b = nodes.agg(*bounds).first(), points.agg(*bounds).first()
     if a[0] is None or b[0] is None:
@@ -78,11 +83,11 @@ def _nearest(points: DataFrame, nodes: DataFrame, point_id: str, far: Column, ce
         # A node outside of the nine cells is at least one cell away.
         last = cell > extent
         sure = best if last else best.where(F.col("metres") < F.lit(cell * (1 - 1e-6)))
-        sure = sure.select(point_id, "b")
+        sure = stored.keep(sure.select(point_id, "b"))
         found = sure if found is None else found.unionByName(sure)
         if last:
             return found
-        left = left.join(sure, point_id, "left_anti")
+        left = stored.keep(left.join(sure, point_id, "left_anti"))
         if left.isEmpty():
             return found
         cell *= 4

@@ -113,3 +113,13 @@ def prepare_buildings(buildings: DataFrame, totals: DataFrame | None = None, met
 def assumptions(spark) -> DataFrame:
     rows = [("people per square metre of floor", PER_SQUARE_METRE), ("levels where unknown", float(LEVELS)), ("square metres each", AREA_EACH), ("least capacity", LEAST_CAPACITY), ("area where unknown", FALLBACK_AREA), ("least people a building", 1.0)]
     return spark.createDataFrame(rows, "assumption string, value double")
+
+
+def assumptions_applied(buildings: DataFrame, areas: DataFrame) -> DataFrame:
+    """(assumption, value, applies): with the number of buildings or areas whose figures rest on it."""
+    known, has = F.col("area_m2").isNotNull(), F.coalesce(F.col("area_m2") > 0, F.lit(False))
+    people = F.coalesce("area_m2", F.lit(0.0)) * F.greatest(F.coalesce("levels", F.lit(LEVELS)), F.lit(1)) * F.lit(PER_SQUARE_METRE)
+    b = buildings.agg(F.count_if(known).alias("people per square metre of floor"), F.count_if(F.col("levels").isNull()).alias("levels where unknown"), F.count_if(people < 1).alias("least people a building"))
+    a = areas.agg(F.count_if(has).alias("square metres each"), F.count_if(has & (F.col("area_m2") < LEAST_CAPACITY * AREA_EACH)).alias("least capacity"), F.count_if(~has).alias("area where unknown"))
+    counted = [x.unpivot([], x.columns, "assumption", "applies") for x in (b, a)]
+    return assumptions(buildings.sparkSession).join(counted[0].unionByName(counted[1]), "assumption")

@@ -476,11 +476,23 @@ def extraction(spark, d):
     return pipelines.extract(points, _polygons(spark, d), [("buildings", "school"), ("health", "hospital"), ("green_area", "park")]).summary
 
 
-@query("assumptions", "SELECT * FROM (VALUES ('people per square metre of floor', 0.025::DOUBLE), ('levels where unknown', 4.0::DOUBLE), ('square metres each', 1.5::DOUBLE), ('least capacity', 50.0::DOUBLE), ('area where unknown', 1000.0::DOUBLE), ('least people a building', 1.0::DOUBLE)) v(assumption, value)")
+# How many rows of the tables each assumption stands in for.
+_ASSUMED = """SELECT 'people per square metre of floor' AS assumption, 0.025::DOUBLE AS value, (SELECT count(area_m2) FROM f_buildings) AS applies UNION ALL SELECT 'levels where unknown', 4.0, (SELECT count(*) FROM f_buildings WHERE levels IS NULL)
+    UNION ALL SELECT 'square metres each', 1.5, (SELECT count(*) FROM f_areas WHERE area_m2 > 0) UNION ALL SELECT 'least capacity', 50.0, (SELECT count(*) FROM f_areas WHERE area_m2 > 0 AND area_m2 < 75)
+    UNION ALL SELECT 'area where unknown', 1000.0, (SELECT count(*) FROM f_areas WHERE coalesce(area_m2, 0) <= 0) UNION ALL SELECT 'least people a building', 1.0, (SELECT count(*) FROM f_buildings WHERE coalesce(area_m2, 0) * greatest(coalesce(levels, 4), 1) * 0.025 < 1)"""
+
+
+@query("assumptions", oracle(_ASSUMED))
 def assumptions(spark, d):
-    return population.assumptions(spark)
+    """The planner's assumptions, each with the number of buildings or areas whose figures rest on it."""
+    return population.assumptions_applied(view(spark, d, "f_buildings"), view(spark, d, "f_areas"))
+
+
+_KNOWN = " UNION ALL ".join(f"SELECT '{c}' AS code, '{g}' AS cat_key, '{k}' AS sub_key" for c, g, k in [*((r.code, r.group, r.key) for r in registry.RULES), *((x[0], x[1], x[2]) for x in registry.DERIVED)])
 
 
-@query("categories")
+@query("categories", oracle(f"SELECT k.code, cat_key, sub_key, coalesce(n, 0) AS features FROM ({_KNOWN}) k LEFT JOIN (SELECT rule_code, count(*) AS n FROM ({_CLASS}) GROUP BY 1) c ON c.rule_code = k.code"))
 def categories(spark, d):
-    return registry.categories(spark)
+    """Every known subcategory with the number of features that the chosen rules put there."""
+    found = _classified(spark, d).groupBy(F.col("rule_code").alias("code")).agg(F.count("*").alias("features"))
+    return registry.categories(spark).select("code", "cat_key", "sub_key").join(found, "code", "left").na.fill(0, ["features"])
