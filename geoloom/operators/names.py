@@ -21,12 +21,16 @@ AGREEMENT = {"match": (0, 100), "support": (1, 70), "unknown": (2, 50), "mismatc
 
 
 def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table is the bits of one number, so a step takes a word of them at a time."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -415,6 +415,34 @@ def name_lookup(spark, d):
     return names.match_names(inputs, "raw_name", "input_row", pool)
 
 
+# Inputs are names turned round, cut to their first word, with a word added, or unknown. Their words hold all of a candidate's or lie in them, so
+# that scores are 100 times the root of the share of common words; schools come first, the other features second.
+_TURNED = "array_to_string(list_reverse(string_split(name, ' ')), ' ')"
+_INPUT = f"CASE id % 4 WHEN 0 THEN {_TURNED} WHEN 1 THEN string_split(name, ' ')[1] WHEN 2 THEN concat(name, ' zz') ELSE concat('qqq', id) END"
+_SHARED = "len(list_intersect(x, y))"
+_WITHIN = f"({_SHARED} = len(x) OR {_SHARED} = len(y))"
+
+
+def _tier_sql(pool: str) -> str:
+    scores = f"SELECT raw, c.id AS cand, c.name AS cand_name, 100 * sqrt({_SHARED} / CAST(len(x) + len(y) - {_SHARED} AS DOUBLE)) AS s FROM (SELECT DISTINCT raw, list_distinct(string_split(raw, ' ')) AS x FROM i) JOIN (SELECT id, name, list_distinct(string_split(name, ' ')) AS y FROM f_features WHERE {pool}) c ON list_has_any(x, y) AND {_WITHIN}"
+    return f"SELECT raw, min_by(cand, r) AS cand, min_by(cand_name, r) AS cand_name, max(s) AS s, CASE WHEN max(s) >= 80 AND count(*) FILTER (WHERE s >= 80) >= 2 AND max(s) - max(CASE WHEN r = 2 THEN s END) < 5 THEN 'Ambiguous' WHEN max(s) >= 80 THEN 'Matched' ELSE 'Possible match' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY s DESC, cand) AS r FROM ({scores})) WHERE r <= 3 GROUP BY 1"
+
+
+_NEAR = f"""SELECT input_row, CASE WHEN mistag THEN 'Possible mistag' ELSE coalesce(s1, 'Not found') END AS status, CASE WHEN mistag THEN c2 ELSE c1 END AS cand_id, CASE WHEN mistag THEN n2 ELSE n1 END AS cand_name, CAST(round(coalesce(CASE WHEN mistag THEN v2 ELSE v1 END, 0) * 1000) AS BIGINT) AS score_milli, CASE WHEN mistag THEN 2 WHEN s1 IS NOT NULL THEN 1 END AS tier
+    FROM (SELECT i.id AS input_row, a.status AS s1, a.cand AS c1, a.cand_name AS n1, a.s AS v1, b.cand AS c2, b.cand_name AS n2, b.s AS v2, coalesce(a.status, '') NOT IN ('Matched', 'Ambiguous') AND coalesce(b.status, '') IN ('Matched', 'Ambiguous') AS mistag FROM i LEFT JOIN ({_tier_sql("building = 'school'")}) a ON a.raw = i.raw LEFT JOIN ({_tier_sql("true")}) b ON b.raw = i.raw)"""
+
+
+@query("name_lookup_tiers", oracle(f"SELECT * FROM (WITH i AS (SELECT id, {_INPUT} AS raw FROM f_features) {_NEAR})"))
+def name_lookup_tiers(spark, d):
+    features = view(spark, d, "f_features")
+    words, k = F.split("name", " "), F.col("id") % 4
+    raw = F.when(k == 0, F.array_join(F.reverse(words), " ")).when(k == 1, F.get(words, F.lit(0))).when(k == 2, F.concat("name", F.lit(" zz"))).otherwise(F.concat(F.lit("qqq"), F.col("id").cast("string")))
+    pool = names.candidates(features, "id", F.array("name"))
+    schools = names.candidates(features.where("building = 'school'"), "id", F.array("name"))
+    got = names.match_names(features.select(F.col("id").alias("input_row"), raw.alias("raw")), "raw", "input_row", schools, pool, threshold=80.0, lite_threshold=80.0)
+    return got.select("input_row", "status", "cand_id", "cand_name", milli("score").alias("score_milli"), "tier")
+
+
 @query("category_detection")
 def category_detection(spark, d):
     patterns = names.pattern_table(spark, registry.name_patterns())

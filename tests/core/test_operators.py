@@ -366,3 +366,19 @@ def test_small_audits(spark):
     assert tuple(analytics.sample_names(rows.limit(0), "b").first()) == (0, [])
     opened, closed = analytics.split_open(rows, rows.where("k > 2"), "k")
     assert sorted(r.k for r in opened.collect()) == [3, 4] and sorted(r.k for r in closed.collect()) == [1, 2]
+
+
+def test_common_subsequences_by_bits():
+    rnd = np.random.default_rng(1)
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ("".join(rnd.choice(list("abcdü "), rnd.integers(0, 150))) for _ in range(2))
+        assert names._lcs(a, b) == table(a, b)
