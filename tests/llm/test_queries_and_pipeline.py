@@ -21,7 +21,7 @@ def test_query_equals_oracle(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         duck.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     frame = queries.queries()[name](spark, DATA)
     want = duck.sql(queries.oracle_sql()[name])
