@@ -4,17 +4,18 @@ Documents are encoded, end with one end id and are cut only if they are longer t
 sequence alone. The other pieces are planned by length alone, so the plan's size depends on the capacity and not on the
 number of documents:
 
-1. Linear grouping: large lengths (over the capacity over a cut), in descending order, form groups of equal cardinality, and each
-   length is rounded up to its group's largest.
+1. Linear grouping: large lengths (over the capacity over a cut), in descending order, form groups of equal cardinality (up to
+   whole lengths), and each length is rounded up to its group's largest.
 2. Configurations of these few sizes are optimised by column generation (a simplex over patterns, priced by a knapsack) and used as often
    as the solution's whole part says.
-3. Actual lengths are substituted for the rounded ones, the smallest of each configuration excepted: its place and the
-   room that rounding has left are one, which what is left of the large lengths shares out again by best fit.
-4. The small lengths go, in descending order, where they fit best.
+3. Actual lengths are substituted for the rounded ones. The last two of a configuration are chosen together, so that they fill the sequence to the
+   last token (the last one may then be of a larger group than planned), else but for at most a 512th of the capacity, else so that the gap is one
+   that small pieces fill but no large piece. A use without such a choice isn't made.
+4. What is left of the large lengths is grouped anew, finer as there is less of it, until a round places nothing or pieces don't make up groups.
+5. The rest and the small lengths go, in descending order, where they fit best.
 
-CUTS gives the cuts and numbers of groups of which the one that needs the fewest sequences is taken. An eighth of the capacity suits
-tables of a few lengths that fill sequences together. Where lengths are spread, its configurations fill sequences so tightly that what they leave is
-too little for any document (0.2 % over the volume's bound on the test tables), and a third needs 0.02 % over the bound at most.
+CUTS gives the cuts and numbers of groups of which the one that needs the fewest sequences is taken (the first of equals). Each places four fifths or more
+of the large pieces by configurations where lengths are spread like those of documents.
 
 The plan maps (length, rank among the pieces of this length) to (sequence, offset). Ranks are counted per lane and length, and a
 lane holds a bounded share of the rows, so that no length, however frequent, is ranked in one task.
@@ -39,7 +40,11 @@ from geoloom.llm import arrow
 from geoloom.llm.tokens import chunk_encoder, vocabulary_path
 
 #: (what the capacity is divided by to part small from large lengths, groups)
-CUTS = ((3, 120), (8, 60))
+CUTS = ((6, 40), (4, 60), (3, 60))
+#: A round of grouping needs as many pieces a group.
+PER_GROUP = 4
+#: Gaps up to the capacity over this are taken where no substitution fills a sequence to the last token.
+NEAR = 512
 
 
 def _best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -100,11 +105,24 @@ class Plan:
         self.left, self.rank = Counter({k: v for k, v in histogram.items() if v}), Counter()
         self.open: dict[int, list[tuple[int, int]]] = {}  # room -> runs of (first sequence, number) filled alike
         self.rooms: list[int] = []
-        if large := sorted((x for x in self.left if x > capacity // cut), reverse=True):
-            self._group(large, groups)
+        self.large = sum(v for k, v in self.left.items() if k > capacity // cut)
+        self.grouped = 0  # of the large pieces those that configurations place
+        self.least = self._least_gap(capacity // cut)
+        while self.left and (placed := self._group([x for x in sorted(self.left, reverse=True) if x > capacity // cut], groups)):
+            self.grouped += placed
         for length in sorted(self.left, reverse=True):
             self._best_fit(length)
 
+    def _least_gap(self, large: int) -> int:
+        """Half the median of the small lengths: a gap of this size is one that small pieces fill. Without any, gaps of all sizes are as good."""
+        below = sorted(x for x in self.left if x <= large)
+        half, seen = sum(self.left[x] for x in below) / 2, 0
+        for length in below:
+            seen += self.left[length]
+            if seen >= half:
+                return length // 2
+        return 0
+
     def _place(self, length: int, number: int, sequence: int, offset: int) -> None:
         self.placements.append((length, self.rank[length], number, sequence, offset))
         self.rank[length] += number
@@ -117,53 +135,56 @@ class Plan:
                 bisect.insort(self.rooms, room)
             self.open[room].append((sequence, number))
 
-    def _group(self, large: list[int], groups: int) -> None:
+    def _group(self, large: list[int], groups: int) -> int:
+        """One round of grouping, configurations and substitution over what is left; returns the number of pieces placed."""
         total = sum(self.left[x] for x in large)
-        each = -(-total // groups)
-        rounded: dict[int, Counter] = {}  # group's size -> actual lengths in it
-        count = 0
+        groups = min(groups, total // PER_GROUP)
+        if not groups:
+            return 0
+        each, count = -(-total // groups), 0
+        members: dict[int, list[int]] = {}  # group -> its lengths, descending
         for length in large:
-            rest = self.left[length]
-            while rest:
-                if count % each == 0:
-                    size = length
-                take = min(rest, each - count % each)
-                rounded.setdefault(size, Counter())[length] += take
-                count, rest = count + take, rest - take
-        sizes = sorted(rounded, reverse=True)
-        for pattern, uses in configurations(sizes, [sum(rounded[s].values()) for s in sizes], self.capacity):
-            # The smallest one's place goes to what fits best there.
-            pattern[max(g for g, k in enumerate(pattern) if k)] -= 1
-            slots = [s for s, k in zip(sizes, pattern, strict=True) for _ in range(k)]
-            for s, k in zip(sizes, pattern, strict=True):
-                uses = min(uses, sum(rounded[s].values()) // k) if k else uses
-            while uses and slots:
-                # As many sequences as have the same actual lengths in all slots: slots of one size share its longest.
-                take, chosen = uses, []
-                for s, k in zip(sizes, pattern, strict=True):
-                    if k:
-                        length = next(iter(rounded[s]))
-                        if rounded[s][length] < k:  # mixes lengths within one sequence
-                            mixed, need = [], k
-                            for x, n in rounded[s].items():
-                                mixed += [x] * min(n, need)
-                                need -= min(n, need)
-                                if not need:
-                                    break
-                            take, chosen = 1, chosen + mixed
-                        else:
-                            take, chosen = min(take, rounded[s][length] // k), chosen + [length] * k
-                by_size = iter(slots)
+            members.setdefault(count // each, []).append(length)
+            count += self.left[length]
+        lengths = list(members.values())
+        sizes = [x[0] for x in lengths]
+        for pattern, uses in configurations(sizes, [sum(self.left[x] for x in g) for g in lengths], self.capacity):
+            slots = [lengths[g] for g, k in enumerate(pattern) for _ in range(k)]
+            while uses and (chosen := self._substitute(slots, large[-1])):
+                # As many sequences as have the same actual lengths in all slots.
+                take = min(uses, *(self.left[x] // k for x, k in Counter(chosen).items()))
                 offset = 0
-                for length, s in zip(chosen, by_size, strict=True):
+                for length in chosen:
                     self._place(length, take, self.sequences, offset)
-                    rounded[s][length] -= take
-                    if not rounded[s][length]:
-                        del rounded[s][length]
                     offset += length
                 self._put_open(self.capacity - offset, self.sequences, take)
                 self.sequences += take
                 uses -= take
+        return total - sum(self.left[x] for x in large)
+
+    def _substitute(self, slots: list[list[int]], smallest: int) -> list[int] | None:
+        """An actual length for each slot of a configuration. The last two are chosen together, so that the sequence is filled to the last token or
+        keeps a gap that small pieces fill; the last one may be of a larger group than planned."""
+        chosen: list[int] = []
+        for group in slots[:-2]:
+            length = next((x for x in group if self.left[x] > chosen.count(x)), None)
+            if length is None:
+                return None
+            chosen.append(length)
+        room = self.capacity - sum(chosen)
+        if len(slots) == 1:
+            length = next((x for x in slots[0] if self.left[x] and self.least <= room - x < smallest), None)
+            return None if length is None else [length]
+        for gap in range(self.capacity // NEAR + 1):
+            for x in slots[-2]:
+                y = room - x - gap
+                if y >= slots[-1][-1] and self.left[x] > chosen.count(x) and self.left[y] > [*chosen, x].count(y):
+                    return [*chosen, x, y]
+        for x in slots[-2]:
+            for y in slots[-1]:
+                if self.least <= room - x - y < smallest and self.left[x] > chosen.count(x) and self.left[y] > [*chosen, x].count(y):
+                    return [*chosen, x, y]
+        return None
 
     def _best_fit(self, length: int) -> None:
         while self.left[length]:

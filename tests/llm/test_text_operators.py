@@ -266,12 +266,24 @@ def best_fit_decreasing(histogram, capacity):
 
 
 @pytest.mark.parametrize("times", [1, 40])
-def test_plan_needs_about_as_few_sequences_as_best_fit(times):
-    """Lengths spread like those of documents: no more than a thousandth more, most large pieces placed by configurations."""
+def test_plan_needs_no_more_sequences_than_best_fit(times):
+    """Lengths spread like those of documents: configurations place most large pieces, many of them behind others, whichever cut is taken."""
     rnd = np.random.default_rng(4)
     lengths = np.minimum(np.exp(rnd.normal(6.2, 0.8, 1500)).astype(int) + 1, 2047)
     histogram = {int(k): int(n) * times for k, n in zip(*np.unique(lengths, return_counts=True))}
-    assert packing.best_plan(histogram, 2048).sequences <= 1.001 * best_fit_decreasing(histogram, 2048) + 1
+    assert packing.best_plan(histogram, 2048).sequences <= best_fit_decreasing(histogram, 2048)
+    for cut, groups in packing.CUTS:
+        plan = packing.Plan(histogram, 2048, cut, groups)
+        behind = sum(number for length, _, number, _, offset in plan.placements if offset and length > 2048 // cut)
+        assert plan.large == sum(n for k, n in histogram.items() if k > 2048 // cut)
+        assert plan.grouped >= 0.8 * plan.large and behind >= 0.3 * plan.large
+
+
+def test_plan_of_even_lengths():
+    """Lengths from 1 to 2047 alike, of which a third fit with small ones only: within a 200th of best fit."""
+    histogram = {int(k): int(n) for k, n in zip(*np.unique(np.random.default_rng(1).integers(1, 2048, 30000), return_counts=True))}
+    plan = packing.best_plan(histogram, 2048)
+    assert plan.sequences <= 1.005 * best_fit_decreasing(histogram, 2048) and plan.grouped >= 0.8 * plan.large
 
 
 @pytest.mark.parametrize("lengths", [[1] * 5000, [700, 800, 548] * 300, list(range(1, 2048)), [1025] * 40 + [1023] * 41])
