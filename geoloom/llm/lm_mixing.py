@@ -3,9 +3,10 @@
 A byte is a path of binary decisions through a fixed prefix code (short paths for common bytes). For each decision,
 predictors for several contexts (the last one and three bytes, and the current word so far) look up how often either side
 was taken in the training texts, in tables of hashed slots. Their stretched probabilities are combined by
-weights that the depth of the decision selects. These gates are learned from training texts that the tables don't hold yet (Newton steps in
-every task that counts, averaged over tasks by decisions) and are refined along each text, block by block, by the gradient of the coding
-cost. Adding up the costs gives the text's total bits, its end included. The end is coded like byte 0 and then told apart from one in the text,
+weights that the depth of the decision selects. These gates are learned from every decision of all training texts: once the tables are
+finished, a second pass looks up each decision without its own count and tallies what the predictors say, rounded to LEVELS steps, against the
+side taken. Tallies are whole numbers, so that gates and scores don't depend on how rows are dealt; the cheapest gates for the tally
+are found by Newton steps. They are refined along each text, block by block, by the gradient of the coding cost. Adding up the costs gives the text's total bits, its end included. The end is coded like byte 0 and then told apart from one in the text,
 for which NUL_BITS more are paid.
 
 Training texts are those whose crc32(id) modulo 7 isn't 2; all of them are counted. Each predictor's table has at least one
@@ -37,16 +38,16 @@ SLOT_BITS, BLOCK, LARGEST, RATE, START, HEAVY, GATHER = 18, 64, 2048, 1.0, 0.4,
 DENSITY = 4096
 #: Bits that tell a byte 0 of a text from the end.
 NUL_BITS = 8
-#: Weight of a gate's weights so far against the decisions of a slice that refines them.
+#: Weight of a gate's first weights against the decisions tallied.
 HOLD = 50.0
-#: Bytes that a longer text counts for when gates are learned.
-EVEN = 2048
-#: Bytes that a task has counted before it learns gates.
-ENOUGH = 1 << 18
+#: Steps of a prediction in the tally, STEP apart with 0 in the middle, and bits of their number.
+LEVELS, STEP, LEVEL_BITS = 31, 0.5, 5
 #: Contexts: numbers of last bytes, then the word so far.
 ORDERS = (1, 3)
 INPUTS = len(ORDERS) + 1
 SLICE = 1 << 20
+#: What spreads a context plus a node over the slots; contexts and nodes are multiplied by it beforehand.
+_SPREAD = 0x846CA68B
 _END = words.mix(np.array([0x656E64], np.uint64))[0]
 
 
@@ -70,7 +71,7 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for b, steps in path.items():
         length[b] = len(steps)
         for j, (n, bit) in enumerate(reversed(steps)):
-            nodes[j, b], bits[j, b] = n * 0x9E3779B1 & 0xFFFFFFFF, bit
+            nodes[j, b], bits[j, b] = n * 0x9E3779B1 * _SPREAD & 0xFFFFFFFF, bit
     return length, nodes, bits
 
 
@@ -78,93 +79,189 @@ LENGTH, NODE, BIT = prefix_code()
 GATES = len(NODE)
 
 
-def contexts(data: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Context hashes (uint32) of every byte; nothing before a text's start counts."""
-    place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), np.diff(np.append(start, len(data))))
-    last = []
-    for k in range(1, max(ORDERS) + 1):
-        b = np.zeros(len(data), np.uint32)
+_LETTER = (~words.PUNCTUATION[words.LOWER]).tobytes()
+_VALUE = (np.arange(256, dtype=np.uint32) + np.uint32(11)) * np.uint32(0x85EBCA6B)
+_VALUE ^= _VALUE >> np.uint32(13)
+
+
+def _grams(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Every byte and the three before it, the byte itself lowest (uint32); nothing before a text's start counts."""
+    n = len(data)
+    out, b = data.astype(np.uint32), np.empty(n, np.uint8)
+    for k in (1, 2, 3):
         b[k:] = data[:-k]
-        b[place < k] = 0
-        last.append(b)
-    out, h = [], np.zeros(len(data), np.uint32)
-    for k, b in enumerate(last, 1):
-        h = (h + b + np.uint32(k)) * np.uint32(0x2C1B3C6D)
+        b[:k] = 0
+        for i in range(k):  # the first k bytes of a text, or places of the next one that are as near to its start
+            b[(start + i)[: np.searchsorted(start, n - i)]] = 0
+        out |= b.astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def _word_so_far(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash (uint32) of the letters since the last other byte, before every byte."""
+    # Sums from the word's first byte on, over letters before this byte only.
+    n = len(data)
+    at = np.arange(n, dtype=np.int32)
+    fresh = np.empty(n, bool)
+    np.logical_not(np.frombuffer(data[:-1].tobytes().translate(_LETTER), bool), out=fresh[1:])
+    fresh[start] = True
+    first = np.maximum.accumulate(np.where(fresh, at, np.int32(0)))
+    place = at - np.repeat(start.astype(np.int32), np.diff(np.append(start, n)))
+    place &= 63
+    place *= 2
+    place += 1
+    value = _VALUE[data]
+    value *= place.view(np.uint32)
+    total = np.zeros(n + 1, np.uint32)
+    np.cumsum(value, out=total[1:])
+    word = total[:-1] - total[first]
+    word *= np.uint32(0x297A2D39)
+    word ^= word >> np.uint32(15)
+    at -= first
+    word += at.view(np.uint32)
+    return word
+
+
+def _hashed(gram: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Context hashes (uint32) of bytes with the three before them and the word so far."""
+    out, h = [], np.zeros(len(gram), np.uint32)
+    for k in range(1, max(ORDERS) + 1):
+        b = gram >> np.uint32(8 * k)
+        b &= np.uint32(255)
+        h += b
+        h += np.uint32(k)
+        h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(15)
         if k in ORDERS:
-            out.append(h + np.uint32(k * 0x27D4EB2F & 0xFFFFFFFF))
-    # The word so far: sums from its first byte on, over letters before this byte only.
-    letter = ~words.PUNCTUATION[words.LOWER[data]]
-    at = np.arange(len(data), dtype=np.int32)
-    fresh = place == 0
-    fresh[1:] |= ~letter[:-1]
-    first = np.maximum.accumulate(np.where(fresh, at, 0))
-    value = (data.astype(np.uint32) + np.uint32(11)) * np.uint32(0x85EBCA6B)
-    value ^= value >> np.uint32(13)
-    total = np.concatenate([np.zeros(1, np.uint32), np.cumsum(value * (np.uint32(2) * (place & 63).astype(np.uint32) + np.uint32(1)), dtype=np.uint32)])
-    word = (total[at] - total[first]) * np.uint32(0x297A2D39)
-    out.append((word ^ (word >> np.uint32(15))) + (at - first).astype(np.uint32))
+            x = h + np.uint32(k * 0x27D4EB2F & 0xFFFFFFFF)
+            x *= np.uint32(_SPREAD)
+            out.append(x)
+    out.append(word * np.uint32(_SPREAD))
     return out
 
 
+def contexts(data: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Context hashes (uint32) of every byte; nothing before a text's start counts."""
+    return _hashed(_grams(data, start), _word_so_far(data, start))
+
+
 def slot_bits(training_bytes: int, density: int = DENSITY) -> int:
     """Bits of a slot's number in tables for so many bytes to learn from."""
     return max(SLOT_BITS, (-(-training_bytes // density) - 1).bit_length())
 
 
 def _slots(context: np.ndarray, node: np.ndarray, slots: int) -> np.ndarray:
-    return ((context + node) * np.uint32(0x846CA68B)) >> np.uint32(33 - slots.bit_length())
+    out = context + node
+    out >>= np.uint32(33 - slots.bit_length())
+    return out
+
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs (uint32); sorts key in place."""
+    key.sort()
+    edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[edge], np.diff(np.append(edge, len(key))).astype(np.uint32)
 
-def count_bits(data: np.ndarray, start: np.ndarray, counts: np.ndarray, block: int = SLICE // 4) -> None:
-    """Adds to counts (inputs, slots * 2) the decisions of all texts."""
-    ctx, slots, one = contexts(data, start), counts.shape[1] // 2, np.uint32(1)
-    for lo in range(0, len(data), block):
-        c, h = data[lo : lo + block], [x[lo : lo + block] for x in ctx]
+
+def _decisions(byte: np.ndarray, ctx: list[np.ndarray], often: np.ndarray, slots: int, block: int):
+    """All decisions of bytes in their contexts, by depth: (depth, for each context the place of side and slot, how often); side 1 follows all slots of side 0."""
+    side = BIT.astype(np.uint32) * np.uint32(slots)
+    for lo in range(0, len(byte), block):
+        c, n, h = byte[lo : lo + block], often[lo : lo + block], [x[lo : lo + block] for x in ctx]
         deep = LENGTH[c]
         for j in range(GATES):
             if j:
                 more = np.flatnonzero(deep > j)
                 if not len(more):
                     break
-                c, deep, h = c[more], deep[more], [x[more] for x in h]
-            node, bit = NODE[j][c], BIT[j][c]
-            for k in range(INPUTS):
-                np.add.at(counts[k], ((_slots(h[k], node, slots) << one) | bit).astype(np.intp), one)
-
+                c, deep, n, h = c[more], deep[more], n[more], [x[more] for x in h]
+            node, bit = NODE[j][c], side[j][c]
+            yield j, [_slots(x, node, slots) + bit for x in h], n
+
+
+def count_bits(data: np.ndarray, start: np.ndarray, counts: np.ndarray, block: int = SLICE // 8) -> None:
+    """Adds to counts (inputs, 2 * slots) the decisions of all texts. A byte in one context decides alike, so each such case is taken once with its number."""
+    gram, word = _grams(data, start), _word_so_far(data, start)
+    for k in range(INPUTS):
+        if k < len(ORDERS):
+            cases, often = _distinct(gram & np.uint32((1 << 8 * (ORDERS[k] + 1)) - 1))
+            ctx = _hashed(cases, cases)[k]
+        else:
+            cases, often = _distinct(word.astype(np.uint64) << np.uint64(8) | data)
+            ctx = (cases >> np.uint64(8)).astype(np.uint32) * np.uint32(_SPREAD)
+        for _, (at,), n in _decisions(cases.astype(np.uint8), [ctx], often, counts.shape[1] // 2, block):
+            np.add.at(counts[k], at.astype(np.intp), n)
+
+
+def levels(counts: np.ndarray, own: int = 1) -> np.ndarray:
+    """Log odds of a 1 in steps from 0 to LEVELS - 1, by side and slot like counts (inputs, 2 * slots), after `own` decisions of that side are taken off."""
+    n = counts.reshape(len(counts), 2, -1).astype(np.float32)
+    out = np.empty(n.shape, np.uint8)
+    for side in (0, 1):
+        less = np.maximum(n[:, side] - own, 0)
+        odds = np.log((less + np.float32(0.4)) / (n[:, 1 - side] + np.float32(0.4))) / np.float32(STEP if side else -STEP)
+        out[:, side] = np.clip(np.rint(odds), -(LEVELS // 2), LEVELS // 2) + LEVELS // 2
+    return out.reshape(counts.shape)
+
+
+def tally_parts(steps: np.ndarray) -> np.ndarray:
+    """What each input adds to a tally's place, from its steps by side and slot: (step of each input, side taken) in bits."""
+    out = steps.astype(np.uint16)
+    for k in range(INPUTS):
+        out[k] <<= np.uint16(1 + LEVEL_BITS * (INPUTS - 1 - k))
+    out[-1].reshape(2, -1)[1] += np.uint16(1)
+    return out
 
-def fit_gates(data: np.ndarray, start: np.ndarray, counts: np.ndarray, weights: np.ndarray, block: int = SLICE) -> np.ndarray:
-    """Refines weights (gates, inputs) in place by Newton steps of the coding cost of texts that counts don't hold; gives decisions by gate.
 
-    A text counts like one of EVEN bytes at most, so that no long one makes the gates its own.
-    """
-    ctx, slots = contexts(data, start), counts.shape[1] // 2
-    size = np.diff(np.append(start, len(data)))
-    share = np.repeat(np.minimum(1.0, EVEN / size), size)
-    seen = np.zeros(GATES)
-    for lo in range(0, len(data), block):
-        for j in range(GATES):
-            at = lo + np.flatnonzero(LENGTH[data[lo : lo + block]] > j)
-            if not len(at):
+def tally_bits(data: np.ndarray, start: np.ndarray, parts: np.ndarray, tally: np.ndarray, block: int = SLICE // 8) -> None:
+    """Adds to tally (gates, steps of each input and side) every decision of all texts; those with equal contexts are taken once with their number."""
+    cases, often = _distinct(_word_so_far(data, start).astype(np.uint64) << np.uint64(32) | _grams(data, start))
+    gram = cases.astype(np.uint32)
+    ctx = _hashed(gram, (cases >> np.uint64(32)).astype(np.uint32))
+    for j, places, n in _decisions(gram.astype(np.uint8), ctx, often, parts.shape[1] // 2, block):
+        cell = sum(parts[k].take(at) for k, at in enumerate(places))
+        np.add.at(tally[j], cell.astype(np.intp), n.astype(np.int64))
+
+
+TALLY = 1 << (1 + LEVEL_BITS * INPUTS)
+
+
+def solve_gates(tally: np.ndarray, weights: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Moves weights (gates, inputs) in place to the least coding cost of the tally, held to where they were by HOLD; gives decisions by gate."""
+    shift = np.arange(INPUTS - 1, -1, -1) * LEVEL_BITS
+    for j, cells in enumerate(tally.reshape(GATES, -1, 2)):
+        at = np.flatnonzero(cells.any(axis=1))
+        x = ((at[:, None] >> shift & (1 << LEVEL_BITS) - 1) - LEVELS // 2) * STEP
+        ones, n, held = cells[at, 1].astype(np.float64), cells[at].sum(axis=1).astype(np.float64), weights[j].copy()
+
+        def cost(w, x=x, ones=ones, n=n, held=held):
+            z = x @ w
+            return (n * np.logaddexp(0, z) - ones * z).sum() + HOLD / 2 * ((w - held) ** 2).sum()
+
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ weights[j], -30, 30)))
+            curve = (x * (n * p * (1 - p))[:, None]).T @ x + HOLD * np.eye(INPUTS)
+            step = np.linalg.solve(curve, x.T @ (ones - n * p) - HOLD * (weights[j] - held))
+            now = cost(weights[j])
+            while cost(weights[j] + step) > now and np.abs(step).max() > 1e-9:
+                step /= 2
+            weights[j] += step
+            if np.abs(step).max() < 1e-7:
                 break
-            node, bit, weigh = NODE[j][data[at]], BIT[j][data[at]].astype(np.float64), share[at]
-            x = np.empty((len(at), INPUTS))
-            for i in range(INPUTS):
-                slot = _slots(ctx[i][at], node, slots).astype(np.int64) * 2
-                x[:, i] = np.log((counts[i][slot + 1] + 0.4) / (counts[i][slot] + 0.4))
-            held = weights[j].copy()
-            for _ in range(2):
-                p = 1 / (1 + np.exp(-np.clip(x @ weights[j], -15, 15)))
-                curve = (x * (weigh * p * (1 - p))[:, None]).T @ x + HOLD * np.eye(INPUTS)
-                weights[j] += np.linalg.solve(curve, x.T @ (weigh * (bit - p)) - HOLD * (weights[j] - held))
-            seen[j] += weigh.sum()
-    return seen
+    return tally.sum(axis=1)
+
+
+def fit_gates(data: np.ndarray, start: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Moves weights (gates, inputs) in place to the least coding cost of texts that counts don't hold; gives decisions by gate."""
+    tally = np.zeros((GATES, TALLY), np.int64)
+    tally_bits(data, start, tally_parts(levels(counts, own=0)), tally)
+    return solve_gates(tally, weights)
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
-    """Log odds of a 1 by slot from counts (inputs, slots * 2); rare slots are near 0 and weigh less."""
-    n = counts.reshape(len(counts), -1, 2).astype(np.float64)
-    return np.log((n[:, :, 1] + 0.4) / (n[:, :, 0] + 0.4)).astype(np.float32)
+    """Log odds of a 1 by slot from counts (inputs, 2 * slots); rare slots are near 0 and weigh less."""
+    n = counts.reshape(len(counts), 2, -1).astype(np.float64)
+    return np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32)
 
 
 #: Cost in bits and share missed of a decision by its stretched probability against it, in steps of 1/64 from -15 to 15.
@@ -264,15 +361,10 @@ _STRIPE = 1 << 14
 
 
 def _gather(parts: int, slots: int):
-    """From training texts: kind 0, token counts by part; kind 1, tables of decisions by stripe, once a task; kind 2, gates.
-
-    Of the first slice, the fourth, the sixteenth and so on, the second half of the texts refines the gates before it is counted,
-    once the tables hold ENOUGH bytes: with fewer, all contexts are rare, and gates learned from them would trust well-filled ones too much.
-    """
+    """From all training texts: kind 0, token counts by part; kind 1, tables of decisions by stripe, once a task."""
 
     def run(batches):
-        tables, seen, counted = np.zeros((INPUTS, 2 * slots), np.uint32), 0, 0
-        gates, decisions = np.full((GATES, INPUTS), START), np.zeros(GATES)
+        tables, seen = np.zeros((INPUTS, 2 * slots), np.uint32), False
         keys, counts, waiting = [], [], 0
 
         def deal():
@@ -281,18 +373,10 @@ def _gather(parts: int, slots: int):
             got = _by_part(unique, parts)
             return arrow.table(_GATHER_ARROW, kind=np.zeros(len(got), np.int32), part=[p for p, _ in got], keys=[unique[x].tobytes() for _, x in got], counts=[n[x].tobytes() for _, x in got])
 
-        for batch in arrow.slices(batches, most=2 * SLICE):
-            seen += 1
+        for batch in arrow.slices(batches, most=4 * SLICE):
+            seen = True
             data, start = _bytes(batch)
-            half = len(start) // 2
-            cut = start[half] if half else 0
-            counted += len(data)
-            if half and seen & (seen - 1) == 0 and seen.bit_length() % 2 and counted - len(data) + cut >= ENOUGH:
-                count_bits(data[:cut], start[:half], tables)
-                decisions += fit_gates(data[cut:], start[half:] - cut, tables, gates)
-                count_bits(data[cut:], start[half:] - cut, tables)
-            else:
-                count_bits(data, start, tables)
+            count_bits(data, start, tables)
             ids, _ = _tokens(data, start)
             unique, n = np.unique(ids, return_counts=True)
             keys.append(np.append(unique, _END))
@@ -303,28 +387,55 @@ def _gather(parts: int, slots: int):
                 keys, counts, waiting = [], [], 0
         if waiting:
             yield deal()
-        if decisions.any():
-            yield arrow.table(_GATHER_ARROW, kind=[2], part=[0], keys=[decisions.tobytes()], counts=[gates.tobytes()])
         if seen:
             for k in range(slots // _STRIPE):
-                row = tables[:, 2 * _STRIPE * k : 2 * _STRIPE * (k + 1)]
+                row = tables.reshape(INPUTS, 2, slots)[:, :, _STRIPE * k : _STRIPE * (k + 1)]
                 if row.any():
                     yield arrow.table(_GATHER_ARROW, kind=[1], part=[k], keys=[b""], counts=[zlib.compress(row.tobytes(), 1)])
 
     return run
 
 
-def _gates(batches):
-    """Per task: for each gate and input the weights times decisions, and the decisions."""
-    schema = pa.schema([("gate", pa.int32()), ("input", pa.int32()), ("weighted", pa.float64()), ("n", pa.float64())])
-    total, n = np.zeros((GATES, INPUTS)), np.zeros(GATES)
+_TALLY_ARROW = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+#: Places of the tally that are added up together.
+_PIECE = 1 << 13
+
+
+def _tally(shared):
+    """From all training texts: the tally of their decisions by piece, once a task."""
+
+    def run(batches):
+        parts, tally = None, np.zeros((GATES, TALLY), np.int64)
+        for batch in arrow.slices(batches, most=4 * SLICE):
+            if parts is None:
+                parts = tally_parts(shared.value)
+            tally_bits(*_bytes(batch), parts, tally)
+        for k, row in enumerate(tally.reshape(-1, _PIECE)):
+            if row.any():
+                yield arrow.table(_TALLY_ARROW, part=[k], counts=[zlib.compress(row.tobytes(), 1)])
+
+    return run
+
+
+def _added(batches, kind):
+    """(part, sum of its rows' counts) from sorted rows of compressed counts."""
+    total, now = None, None
     for batch in batches:
-        for k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            seen = np.frombuffer(k, np.float64)
-            n += seen
-            total += seen[:, None] * np.frombuffer(c, np.float64).reshape(GATES, INPUTS)
-    if n.any():
-        yield arrow.table(schema, gate=np.repeat(np.arange(GATES, dtype=np.int32), INPUTS), input=np.tile(np.arange(INPUTS, dtype=np.int32), GATES), weighted=total.ravel(), n=np.repeat(n, INPUTS))
+        for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got = np.frombuffer(zlib.decompress(data), kind)
+            if part != now:
+                if total is not None:
+                    yield now, total
+                now, total = part, np.zeros(len(got), np.int64)
+            total += got
+    if total is not None:
+        yield now, total
+
+
+def _pieces(batches):
+    """Sums of each piece of the tally."""
+    for part, total in _added(batches, np.int64):
+        yield arrow.table(_TALLY_ARROW, part=[part], counts=[total.tobytes()])
 
 
 def _runs(batches):
@@ -352,23 +463,11 @@ def _totals(batches):
 
 
 def _stripes(batches):
-    """Log odds of each stripe of the tables, from sorted rows of counts."""
-    schema = pa.schema([("stripe", pa.int32()), ("odds", pa.binary())])
-
-    def odds():
-        return arrow.table(schema, stripe=[now], odds=[stretched(total.reshape(INPUTS, -1)).astype(np.float16).tobytes()])
-
-    total, now = None, None
-    for batch in batches:
-        for stripe, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            got = np.frombuffer(zlib.decompress(data), np.uint32)
-            if stripe != now:
-                if total is not None:
-                    yield odds()
-                now, total = stripe, np.zeros(len(got), np.uint64)
-            total += got
-    if total is not None:
-        yield odds()
+    """Log odds and steps of each stripe of the tables, from sorted rows of counts."""
+    schema = pa.schema([("stripe", pa.int32()), ("odds", pa.binary()), ("steps", pa.binary())])
+    for stripe, total in _added(batches, np.uint32):
+        total = total.reshape(INPUTS, -1)
+        yield arrow.table(schema, stripe=[stripe], odds=[stretched(total).astype(np.float16).tobytes()], steps=[levels(total).tobytes()])
 
 
 _SCORE = "kind int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, part int, keys binary, rows binary, counts binary"
@@ -490,14 +589,20 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         pairs += [(int(k), int(c)) for k, c in zip(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64), strict=True) if c * HEAVY > n_all]
     pairs.sort()
     heavy, heavy_n = np.array([k for k, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.int64)
-    tables = np.zeros((INPUTS, slots), np.float16)
+    tables, steps = np.zeros((INPUTS, slots), np.float16), np.full((INPUTS, 2, slots), LEVELS // 2, np.uint8)
     stripes = gathered.where("kind = 1").select(F.col("part").alias("stripe"), "counts").repartition(n, "stripe").sortWithinPartitions("stripe")
-    for r in stash.keep(stripes.mapInArrow(_stripes, "stripe int, odds binary"), "stripes").toLocalIterator():
-        tables[:, _STRIPE * r.stripe : _STRIPE * (r.stripe + 1)] = np.frombuffer(r.odds, np.float16).reshape(INPUTS, -1)
-    gates = np.full((GATES, INPUTS), START, np.float32)
-    learned = gathered.where("kind = 2").select("keys", "counts").mapInArrow(_gates, "gate int, input int, weighted double, n double")
-    for r in learned.groupBy("gate", "input").agg(F.sum("weighted").alias("weighted"), F.sum("n").alias("n")).where("n > 0").collect():  # one row for each weight
-        gates[r.gate, r.input] = r.weighted / r.n
+    for r in stash.keep(stripes.mapInArrow(_stripes, "stripe int, odds binary, steps binary"), "stripes").toLocalIterator():
+        here = slice(_STRIPE * r.stripe, _STRIPE * (r.stripe + 1))
+        tables[:, here] = np.frombuffer(r.odds, np.float16).reshape(INPUTS, -1)
+        steps[:, :, here] = np.frombuffer(r.steps, np.uint8).reshape(INPUTS, 2, -1)
+    spread = spark.sparkContext.broadcast(steps.reshape(INPUTS, -1))
+    pieces = stash.keep(training.mapInArrow(_tally(spread), "part int, counts binary"), "tally").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_pieces, "part int, counts binary")
+    tally, gates = np.zeros((GATES * TALLY // _PIECE, _PIECE), np.int64), np.full((GATES, INPUTS), START)
+    for r in pieces.toLocalIterator():  # 8 rows of 64 KB a gate at most, whatever the input
+        tally[r.part] = np.frombuffer(r.counts, np.int64)
+    solve_gates(tally.reshape(GATES, TALLY), gates)
+    gates = gates.astype(np.float32)
+    spread.destroy()
     shared = spark.sparkContext.broadcast((heavy, heavy_n, tables, n_all, v_all, gates))
     stash.drop("gathered")
     scan = stash.keep(docs.mapInArrow(_scan(parts, shared), _SCORE), "scan")

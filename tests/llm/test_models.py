@@ -130,6 +130,37 @@ def test_lm_gates_are_learned_from_texts_not_counted_yet():
     assert lm_mixing.total_bits(*parts[2], tables, gates).sum() < 0.97 * lm_mixing.total_bits(*parts[2], tables).sum()
 
 
+def test_lm_gates_are_learned_from_every_training_text(docs, rows, monkeypatch):
+    """Gates equal those of a plain tally of all decisions of all training texts, each without its own count, however rows are dealt."""
+    some = [(i, t) for i, t, *_ in rows if i is not None and i < 60]
+    texts = [(t or "").encode() + b"\0" for i, t in some if zlib.crc32(str(i).encode()) % 7 != 2]
+    made, seen = [], Counter()
+    for text in texts:
+        ctx = lm_mixing.contexts(np.frombuffer(text, np.uint8), np.array([0]))
+        for i, byte in enumerate(text):
+            for j in range(lm_mixing.LENGTH[byte]):
+                node = lm_mixing.NODE[j][byte : byte + 1]
+                made.append((j, int(lm_mixing.BIT[j][byte]), [int(lm_mixing._slots(x[i : i + 1], node, 1 << lm_mixing.SLOT_BITS)[0]) for x in ctx]))
+                seen.update((k, slot, made[-1][1]) for k, slot in enumerate(made[-1][2]))
+    tally = np.zeros((lm_mixing.GATES, lm_mixing.TALLY), np.int64)
+    for j, bit, slots in made:
+        steps = [np.rint(np.log((seen[k, s, 1] - bit + 0.4) / (seen[k, s, 0] - 1 + bit + 0.4)) / lm_mixing.STEP) for k, s in enumerate(slots)]
+        cell = 0
+        for step in steps:
+            cell = cell * 32 + int(np.clip(step, -15, 15)) + 15
+        tally[j, 2 * cell + bit] += 1
+    want = np.full((lm_mixing.GATES, lm_mixing.INPUTS), lm_mixing.START)
+    assert lm_mixing.solve_gates(tally, want)[0] == sum(map(len, texts))
+    assert np.abs(want - lm_mixing.START).max() > 0.05
+    gates, scores = [], []
+    plain = lm_mixing._scan
+    monkeypatch.setattr(lm_mixing, "_scan", lambda parts, shared: gates.append(shared.value[5]) or plain(parts, shared))
+    for n in (1, 7):
+        scores.append(sorted((r.doc_id, r.n_tokens, r.score) for r in lm_mixing.score_texts(docs.where("doc_id < 60").repartition(n)).collect()))
+        assert np.allclose(gates[-1], want, atol=1e-4)
+    assert scores[0] == scores[1] and len(scores[0]) == len(some)
+
+
 def slow_bits(text, tables, gates):
     """One decision after the other, in plain Python: contexts by slices of the text, weights renewed at the ends of blocks."""
     weights, out = np.array(gates, np.float64), -math.log2(1 - 2.0**-lm_mixing.NUL_BITS) + lm_mixing.NUL_BITS * text[:-1].count(0)
