@@ -77,6 +77,8 @@ def prefix_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 LENGTH, NODE, BIT = prefix_code()
 GATES = len(NODE)
+#: Decisions that every byte takes.
+SHALLOW = int(LENGTH.min())
 
 
 _LETTER = (~words.PUNCTUATION[words.LOWER]).tobytes()
@@ -101,24 +103,26 @@ def _word_so_far(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Hash (uint32) of the letters since the last other byte, before every byte."""
     # Sums from the word's first byte on, over letters before this byte only.
     n = len(data)
-    at = np.arange(n, dtype=np.int32)
     fresh = np.empty(n, bool)
     np.logical_not(np.frombuffer(data[:-1].tobytes().translate(_LETTER), bool), out=fresh[1:])
     fresh[start] = True
-    first = np.maximum.accumulate(np.where(fresh, at, np.int32(0)))
-    place = at - np.repeat(start.astype(np.int32), np.diff(np.append(start, n)))
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, n))
+    place = np.resize(np.arange(64, dtype=np.uint8), n)
+    place -= np.repeat((start & 63).astype(np.uint8), np.diff(np.append(start, n)))
     place &= 63
     place *= 2
     place += 1
     value = _VALUE[data]
-    value *= place.view(np.uint32)
+    value *= place
     total = np.zeros(n + 1, np.uint32)
     np.cumsum(value, out=total[1:])
-    word = total[:-1] - total[first]
+    word = total[:-1]
+    word -= np.repeat(total[first], size)
     word *= np.uint32(0x297A2D39)
     word ^= word >> np.uint32(15)
-    at -= first
-    word += at.view(np.uint32)
+    word += np.arange(n, dtype=np.uint32)
+    word -= np.repeat(first.astype(np.uint32), size)
     return word
 
 
@@ -170,7 +174,7 @@ def _decisions(byte: np.ndarray, ctx: list[np.ndarray], often: np.ndarray, slots
         c, n, h = byte[lo : lo + block], often[lo : lo + block], [x[lo : lo + block] for x in ctx]
         deep = LENGTH[c]
         for j in range(GATES):
-            if j:
+            if j >= SHALLOW:
                 more = np.flatnonzero(deep > j)
                 if not len(more):
                     break
@@ -267,7 +271,7 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 #: Cost in bits and share missed of a decision by its stretched probability against it, in steps of 1/64 from -15 to 15.
 _AGAINST = np.arange(-15 * 64, 15 * 64 + 1) / 64
 #: What turns log odds of a 1 into those against the decision, in steps of the tables below.
-_SIDE = np.array([64, -64], np.float32)
+_SIDE = np.array([64, -64], np.float32)[BIT]
 _COST, _MISS = np.log2(1 + np.exp(_AGAINST)).astype(np.float32), (1 / (1 + np.exp(-_AGAINST))).astype(np.float32)
 
 
@@ -291,7 +295,9 @@ def total_bits(data: np.ndarray, start: np.ndarray, tables: np.ndarray, gates: n
     nul[start + size - 1] = False
     cost = NUL_BITS * (np.add.reduceat(nul, start, dtype=np.float64) if n else np.zeros(0)) - math.log2(1 - 2.0**-NUL_BITS)
     for place, block in _blocks(int(size.max()) if n else 0):
-        live = np.flatnonzero(size > place)
+        # Texts that go on come first: only their weights are refined.
+        live = np.concatenate([np.flatnonzero(size > place + block), np.flatnonzero((size > place) & (size <= place + block))])
+        on = np.count_nonzero(size > place + block)
         length = np.minimum(size[live] - place, block)
         begin = np.cumsum(length) - length
         at = np.repeat(start[live] + place - begin, length) + np.arange(length.sum())
@@ -300,12 +306,12 @@ def total_bits(data: np.ndarray, start: np.ndarray, tables: np.ndarray, gates: n
         h = [x[at] for x in ctx]
         deep = LENGTH[c]
         for j in range(GATES):
-            if j:
+            if j >= SHALLOW:
                 more = np.flatnonzero(deep > j)
                 if not len(more):
                     break
                 c, deep, text, h = c[more], deep[more], text[more], [x[more] for x in h]
-            node, bit = NODE[j][c], BIT[j][c]
+            node = NODE[j][c]
             edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
             owner = live[text[edge]]
             count = np.diff(np.append(edge, len(text)))
@@ -314,18 +320,24 @@ def total_bits(data: np.ndarray, start: np.ndarray, tables: np.ndarray, gates: n
             z = inputs[0] * np.repeat(w[:, 0], count)
             for i in range(1, INPUTS):
                 z += inputs[i] * np.repeat(w[:, i], count)
-            side = _SIDE[bit]
+            side = _SIDE[j][c]
             z *= side
             z += np.float32(960.5)
             np.clip(z, 0, 1920, out=z)
             against = z.astype(np.int16)
             cost[owner] += np.add.reduceat(_COST[against], edge, dtype=np.float64)
-            miss = _MISS[against]
-            miss *= side
-            step = (-RATE / 64 / (count + 16)).astype(np.float32)
+            more_texts = np.searchsorted(text[edge], on)
+            if not more_texts:
+                continue
+            end = edge[more_texts] if more_texts < len(edge) else len(text)
+            edge, owner, w = edge[:more_texts], owner[:more_texts], w[:more_texts]
+            miss = _MISS[against[:end]]
+            miss *= side[:end]
+            step = (-RATE / 64 / (count[:more_texts] + 16)).astype(np.float32)
             for i in range(INPUTS):
-                inputs[i] *= miss
-                w[:, i] += step * np.add.reduceat(inputs[i], edge)
+                x = inputs[i][:end]
+                x *= miss
+                w[:, i] += step * np.add.reduceat(x, edge)
             weights[j][owner] = w
     return cost
 
@@ -498,21 +510,23 @@ def _scan(parts: int, shared):
             bits = total_bits(data, start, tables, gates)
             ids, begin = _tokens(data, start)
             text = np.repeat(np.arange(m), np.diff(begin))
-            order = np.lexsort((ids, text))
-            k, t = ids[order], text[order]
+            at = np.searchsorted(heavy, ids) if len(heavy) else np.zeros(len(ids), int)
+            at[at == len(heavy)] = 0
+            hit = heavy[at] == ids if len(heavy) else np.zeros(len(ids), bool)
+            base = np.bincount(text[hit], heavy_log[at[hit]], m) if hit.any() else np.zeros(m)
+            known = np.bincount(text[hit], minlength=m).astype(np.int64)
+            # Other tokens meet their counts elsewhere, once a text.
+            k, t = ids[~hit], text[~hit]
+            order = np.lexsort((k, t))
+            k, t = k[order], t[order]
             new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])) if len(k) else np.zeros(0, int)
             n = np.diff(np.append(new, len(k)))
             k, t = k[new], t[new]
-            at = np.searchsorted(heavy, k) if len(heavy) else np.zeros(len(k), int)
-            at[at == len(heavy)] = 0
-            hit = heavy[at] == k if len(heavy) else np.zeros(len(k), bool)
-            base = np.bincount(t[hit], n[hit] * heavy_log[at[hit]], m) if hit.any() else np.zeros(m)
-            known = np.bincount(t[hit], n[hit], m).astype(np.int64) if hit.any() else np.zeros(m, np.int64)
             train = ~batch.column(2).to_numpy(zero_copy_only=False)
             # The sign bit of a count says whether the text is one to learn from.
-            keys.append(k[~hit])
-            owners.append(row[t[~hit]])
-            counts.append(np.where(train[t[~hit]], n[~hit], -n[~hit]).astype(np.int32))
+            keys.append(k)
+            owners.append(row[t])
+            counts.append(np.where(train[t], n, -n).astype(np.int32))
             # Ends are tokens like others: they go the common way unless they are heavy.
             end = np.searchsorted(heavy, _END) if len(heavy) else 0
             if len(heavy) and end < len(heavy) and heavy[end] == _END:
@@ -522,7 +536,7 @@ def _scan(parts: int, shared):
                 keys.append(np.full(m, _END, np.uint64))
                 owners.append(row)
                 counts.append(np.where(train, 1, -1).astype(np.int32))
-            waiting += len(keys[-1]) + int((~hit).sum())
+            waiting += len(keys[-1]) + len(k)
             tokens = np.diff(begin) + 1
             base -= tokens * math.log10(n_all + v_all + 1)
             nulls = [pa.nulls(m, f.type) for f in list(_SCORE_ARROW)[8:]]
