@@ -23,7 +23,7 @@ def workbook_round_trip(spark, d):
     """All buildings as a sheet of a workbook, read back as text."""
     rows = view(spark, d, "f_buildings").select("building_idx", F.col("x").cast("long").alias("x"), F.nullif("name", F.lit("")).alias("name"), "levels", (F.col("levels") > 3).alias("high"))
     stored, path = _book(spark)
-    workbook.write_workbook({"Summary": spark.range(1), "Buildings & more": rows}, path)
+    workbook.write_workbook({"Summary": spark.range(1), "Buildings & more": rows}, path, split=True)
     kept = stored.keep(workbook.table(workbook.read_workbooks(spark, path, "Buildings & more")))
     return kept.select("building_idx", "x", "name", "levels", "high")
 
@@ -36,7 +36,7 @@ _SHEETS = " UNION ALL ".join([f"SELECT 'Summary' AS sheet, count(DISTINCT catego
 def report_workbook(spark, d):
     """Rows by sheet of the extraction report, headers included, from the stored workbook."""
     stored, path = _book(spark)
-    workbook.write_workbook(reports.extraction_tables(registered._report_rows(spark, d), registered._CATEGORIES), path)
+    workbook.write_workbook(reports.extraction_tables(registered._report_rows(spark, d), registered._CATEGORIES), path, split=True)
     rows = workbook.read_workbooks(spark, path).where("row >= 0")
     return stored.keep(rows.groupBy("sheet").agg(F.count("*").alias("n")))
 
