@@ -4,8 +4,8 @@ Union: polygons, outer rings counter-clockwise and holes clockwise, are dealt to
 cut where they meet each other and at the cell's border lines, and each piece belongs to the one cell its middle lies in, so seams cancel
 without clipping. A ray from a piece's middle gives the winding number on either side; pieces with cover on one side only are the union's
 boundary. What is left of coincident pieces is their difference. Areas are sums over the pieces; rings are chained per connected
-boundary. Equal polygons count once. A cell's edges are cut against each other, so the cell size bounds the work; it defaults to that of the
-spatial joins.
+boundary. Equal polygons count once. The cell size defaults to that of the spatial joins. A crowded cell is cut into four until few edges are left in it; a
+part that lies under a polygon as a whole has no boundary and is left out, so deep cover costs no crossings.
 
 Repair does the same for one polygon under the even-odd rule: crossings become vertices, spikes vanish, loops become parts of their own.
 
@@ -15,6 +15,7 @@ Places are snapped to SNAP metres, below which nothing is told apart.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from geoloom.operators.spatial import cell_size, with_cells
 SNAP = 1e-6
 #: Pairs of edges that are compared at once.
 _PAIRS = 4_000_000
+#: Edges that a cell may hold uncut, and how often it is cut into four at most.
+_CROWD, _DEPTH = 64, 16
 
 
 def _snap(a: np.ndarray) -> np.ndarray:
@@ -108,8 +111,65 @@ def _cuts(e: np.ndarray, lines: tuple[float, float, float, float] | None) -> np.
     return np.vstack(pieces) if pieces else np.zeros((0, 4))
 
 
-def boundary(e: np.ndarray, rule: str, lines: tuple[float, float, float, float] | None = None) -> np.ndarray:
-    """Directed pieces, cover on their left, that part what is covered (winding over 0, or odd) from what isn't."""
+def _touch(e: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Which edges may come as near to the box as a few SNAP."""
+    gap = 8 * SNAP
+    x0, y0, x1, y1 = box[0] - gap, box[1] - gap, box[2] + gap, box[3] + gap
+    hit = (np.minimum(e[:, 0], e[:, 2]) <= x1) & (np.maximum(e[:, 0], e[:, 2]) >= x0) & (np.minimum(e[:, 1], e[:, 3]) <= y1) & (np.maximum(e[:, 1], e[:, 3]) >= y0)
+    # Nor with all corners of the box on one side of the edge's line.
+    d = e[:, 2:] - e[:, :2]
+    sides = np.stack([d[:, 0] * (y - e[:, 1]) - d[:, 1] * (x - e[:, 0]) for x in (x0, x1) for y in (y0, y1)])
+    return hit & (sides.min(axis=0) <= 0) & (sides.max(axis=0) >= 0)
+
+
+def _turns_once(e: np.ndarray) -> bool:
+    """Whether a polygon's edges are one convex ring, so that it winds 0 or 1 times around any place."""
+    d = e[:, 2:] - e[:, :2]
+    n = np.roll(d, -1, axis=0)
+    turn = np.arctan2(d[:, 0] * n[:, 1] - d[:, 1] * n[:, 0], (d * n).sum(axis=1))
+    return bool((e[:, 2:] == np.roll(e[:, :2], -1, axis=0)).all() and (turn >= 0).all() and abs(turn.sum() - 2 * np.pi) < 1e-6)
+
+
+def parts_of(polygons: list[np.ndarray], box: tuple[float, float, float, float]) -> Iterator[tuple[tuple[float, float, float, float], np.ndarray, np.ndarray, int]]:
+    """(part of the box, edges in it, all edges of polygons with an edge in it, how often the other polygons wind around it), without parts that are covered for sure.
+
+    Parts are quarters of quarters, so their lines are the same whatever the polygons are.
+    """
+    polygons = [p for p in polygons if len(p)]
+    if not polygons:
+        return
+    e, size = np.vstack(polygons), np.array([len(p) for p in polygons])
+    owner, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    # How far below 0 a polygon may wind, at most.
+    below = np.array([0 if _turns_once(p) else len(p) // 2 for p in polygons])
+    todo = [(box, np.arange(len(size)), np.arange(len(e)), 0, 0)]
+    while todo:
+        part, mine, near, base, depth = todo.pop()
+        near = near[_touch(e[near], part)]
+        active = np.unique(owner[near])
+        gone = np.setdiff1d(mine, active, assume_unique=True)
+        if len(gone):
+            f = e[np.repeat(start[gone], size[gone]) + np.arange(size[gone].sum()) - np.repeat(np.cumsum(size[gone]) - size[gone], size[gone])]
+            x, y = (part[0] + part[2]) / 2, (part[1] + part[3]) / 2
+            f = f[(f[:, 1] <= y) != (f[:, 3] <= y)]
+            right = f[:, 0] + (y - f[:, 1]) / (f[:, 3] - f[:, 1]) * (f[:, 2] - f[:, 0]) > x
+            base += int(np.where(f[:, 3] > f[:, 1], 1, -1)[right].sum())
+        if not len(active) or base > below[active].sum():
+            continue
+        if len(near) <= _CROWD or depth == _DEPTH:
+            every = np.repeat(start[active], size[active]) + np.arange(size[active].sum()) - np.repeat(np.cumsum(size[active]) - size[active], size[active])
+            yield part, e[near], e[every], base
+            continue
+        mx, my = float(_snap((part[0] + part[2]) / 2)), float(_snap((part[1] + part[3]) / 2))
+        for quarter in ((part[0], part[1], mx, my), (mx, part[1], part[2], my), (part[0], my, mx, part[3]), (mx, my, part[2], part[3])):
+            todo.append((quarter, active, near, base, depth + 1))
+
+
+def boundary(e: np.ndarray, rule: str, lines: tuple[float, float, float, float] | None = None, every: np.ndarray | None = None, base: int = 0) -> np.ndarray:
+    """Directed pieces, cover on their left, that part what is covered (winding over 0, or odd) from what isn't.
+
+    `every` are the edges that wind around places, if e are only those near the lines; `base` is added to what they wind.
+    """
     if not len(e):
         return np.zeros((0, 4))
     pieces = _cuts(e, lines)
@@ -121,8 +181,8 @@ def boundary(e: np.ndarray, rule: str, lines: tuple[float, float, float, float]
     names, at = np.unique(np.round(forward / SNAP).astype(np.int64), axis=0, return_inverse=True)
     net = np.bincount(at.ravel(), np.where(back, -1, 1), len(names)).astype(int)
     names, net = names[net != 0] * SNAP, net[net != 0]
-    covered = (lambda w: w > 0) if rule == "positive" else (lambda w: w % 2 != 0)
-    out = []
+    covered = (lambda w: w + base > 0) if rule == "positive" else (lambda w: (w + base) % 2 != 0)
+    e, out = e if every is None else every, []
     for (x0, y0, x1, y1), n in zip(names, net, strict=True):
         mx, my, flat = (x0 + x1) / 2, (y0 + y1) / 2, abs(x1 - x0) >= abs(y1 - y0)
         # Along the axis on which the piece is shorter: crossings beyond the piece, without those that run along it.
@@ -211,8 +271,8 @@ def union_boundary(polygons: DataFrame, rings: str = "rings", cell: float | None
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lines = tuple(float(_snap(k * cell)) for k in (key[0], key[1], key[0] + 1, key[1] + 1))
-        got = boundary(np.vstack([_edges(r, True) for r in pdf["rings"]]), "positive", lines)
-        return pd.DataFrame(got, columns=["x0", "y0", "x1", "y1"])
+        got = [boundary(near, "positive", part, every, base) for part, near, every, base in parts_of([_edges(r, True) for r in pdf["rings"]], lines)]
+        return pd.DataFrame(np.vstack(got) if got else np.zeros((0, 4)), columns=["x0", "y0", "x1", "y1"])
 
     return rows.groupBy("cx", "cy").applyInPandas(run, _PIECES)
 

@@ -155,3 +155,31 @@ def test_points_meet_polygons_of_all_sizes(spark):
     assert {r.neighbourhood for r in spatial.nearest_polygon(points.limit(3), polygons.limit(0), "k", "neighbourhood_name").collect()} == {None}
     plan = spatial.assign_neighbourhoods(points, polygons, "k")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_of_crowded_cells_have_the_same_boundary(seed, monkeypatch):
+    """Boxes, bow ties and rings with holes many deep: area as without cutting cells, and far fewer crossings where cover is deep."""
+    rnd = np.random.default_rng(seed)
+    shapes = []
+    for k, (x, y, a, b) in enumerate(rnd.integers(0, 60, (90, 4)).tolist()):
+        a, b = a // 3 + 4, b // 3 + 4
+        ring = lambda *p: [{"x": float(u), "y": float(v)} for u, v in p]
+        square = ring((x, y), (x + a, y), (x + a, y + b), (x, y + b))
+        hole = ring((x + 1, y + 1), (x + 3, y + 1), (x + 3, y + 3), (x + 1, y + 3))
+        shapes.append([[square], [square, hole], [ring((x, y), (x + a, y + b), (x + a, y), (x, y + b))], [ring((x, y), (x + a, y + 2), (x + 2, y + b))]][k % 4])
+    edges = [overlay._edges(s, True) for s in shapes]
+    box = (-1.0, -1.0, 101.0, 101.0)
+    area = lambda g: float((g[:, 0] * g[:, 3] - g[:, 2] * g[:, 1]).sum() / 2)
+    want = area(overlay.boundary(np.vstack(edges), "positive", box))
+    monkeypatch.setattr(overlay, "_CROWD", 6)
+    parts = list(overlay.parts_of(edges, box))
+    got = sum(area(overlay.boundary(near, "positive", part, every, base)) for part, near, every, base in parts)
+    assert len(parts) > 20 and abs(got - want) < 1e-3
+
+
+def test_deep_cover_is_left_out():
+    square = lambda x, y, s: np.array([(x, y, x + s, y), (x + s, y, x + s, y + s), (x + s, y + s, x, y + s), (x, y + s, x, y)], float)
+    rnd = np.random.default_rng(1)
+    many = [square(-500, -500, 3000), *[square(x, y, 300) for x, y in rnd.uniform(0, 1000, (5000, 2))]]
+    assert not list(overlay.parts_of(many, (0.0, 0.0, 1000.0, 1000.0)))
