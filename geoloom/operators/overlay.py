@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +113,23 @@ def _cuts(e: np.ndarray, lines: tuple[float, float, float, float] | None) -> np.
     return np.vstack(pieces) if pieces else np.zeros((0, 4))
 
 
+def _edges_of(column: pa.Array) -> list[np.ndarray]:
+    """_edges(rings, False) of each polygon in a column."""
+    rings = column.flatten()
+    points, polygon, ring = rings.flatten(), pc.list_parent_indices(column).to_numpy(), pc.list_parent_indices(rings).to_numpy()
+    p = _snap(np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)) if len(points) else np.zeros((0, 2))
+
+    def beside(ring: np.ndarray, step: int) -> np.ndarray:
+        """Each point's next one or the one before in its ring."""
+        first = np.searchsorted(ring, ring)
+        return first + (np.arange(len(ring)) - first + step) % (np.searchsorted(ring, ring, "right") - first)
+
+    keep = np.any(p != p[beside(ring, -1)], axis=1)
+    p, ring = p[keep], ring[keep]
+    e, owner = np.hstack([p, p[beside(ring, 1)]]), polygon[ring] if len(ring) else np.zeros(0, int)
+    return np.split(e, np.cumsum(np.bincount(owner, minlength=len(column)))[:-1]) if len(column) else []
+
+
 def _touch(e: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
     """Which edges may come as near to the box as a few SNAP."""
     gap = 8 * SNAP
@@ -202,27 +221,105 @@ def boundary(e: np.ndarray, rule: str, lines: tuple[float, float, float, float]
     return np.array(out).reshape(-1, 4)
 
 
+def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, place within it) of items that have so many places each."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def odd_boundaries(polygons: list[np.ndarray]) -> list[np.ndarray]:
+    """boundary(e, "odd") of each polygon's edges; small polygons many at a time, with the same steps and results."""
+    out: list[np.ndarray] = [np.zeros((0, 4))] * len(polygons)
+    small: list[int] = []
+    pairs = 0
+    for k, e in enumerate(polygons):
+        if len(e) > _CROWD:
+            out[k] = boundary(e, "odd")
+        elif len(e):
+            small.append(k)
+            pairs += len(e) ** 2
+        if small and (pairs >= _PAIRS // 20 or k == len(polygons) - 1):
+            for i, got in zip(small, _odd([polygons[i] for i in small]), strict=True):
+                out[i] = got
+            small, pairs = [], 0
+    return out
+
+
+def _odd(polygons: list[np.ndarray]) -> list[np.ndarray]:
+    size = np.array([len(e) for e in polygons])
+    e, owner, start = np.vstack(polygons), np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    a, d = e[:, :2], e[:, 2:] - e[:, :2]
+    length = np.hypot(d[:, 0], d[:, 1])
+    low, high = np.minimum(e[:, :2], e[:, 2:]) - 2 * SNAP, np.maximum(e[:, :2], e[:, 2:]) + 2 * SNAP
+    p, q = _each(size[owner])
+    q = q + start[owner[p]]
+    near = (p != q) & (low[p, 0] <= high[q, 0]) & (low[q, 0] <= high[p, 0]) & (low[p, 1] <= high[q, 1]) & (low[q, 1] <= high[p, 1])
+    p, q = p[near], q[near]
+    w = a[q] - a[p]
+    cross = d[p, 0] * d[q, 1] - d[p, 1] * d[q, 0]
+    off, along = np.abs(d[p, 0] * w[:, 1] - d[p, 1] * w[:, 0]) / length[p], (d[p, 0] * w[:, 0] + d[p, 1] * w[:, 1]) / length[p]
+    on = (off <= 1.5 * SNAP) & (along > SNAP) & (along < length[p] - SNAP)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (w[:, 0] * d[q, 1] - w[:, 1] * d[q, 0]) / cross, (w[:, 0] * d[p, 1] - w[:, 1] * d[p, 0]) / cross
+    hit = (p < q) & (np.abs(cross) > 1e-12 * length[p] * length[q]) & (t * length[p] > SNAP) & (t * length[p] < length[p] - SNAP) & (u * length[q] > SNAP) & (u * length[q] < length[q] - SNAP)
+    point = _snap(a[p[hit]] + t[hit, None] * d[p[hit]])
+    edge = np.concatenate([np.arange(len(e)), np.arange(len(e)), p[on], p[hit], q[hit]])
+    points = np.vstack([e[:, :2], e[:, 2:], e[q[on], :2], point, point])
+    order = np.lexsort((((points - a[edge]) * d[edge]).sum(axis=1), edge))
+    edge, points = edge[order], points[order]
+    moved = (edge[1:] == edge[:-1]) & np.any(points[1:] != points[:-1], axis=1)
+    pieces, of = np.hstack([points[:-1][moved], points[1:][moved]]), owner[edge[:-1][moved]]
+    back = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
+    names = np.round(np.where(back[:, None], pieces[:, [2, 3, 0, 1]], pieces) / SNAP).astype(np.int64)
+    order = np.lexsort((names[:, 3], names[:, 2], names[:, 1], names[:, 0], of))
+    names, of, turn = names[order], of[order], np.where(back, -1, 1)[order]
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | np.any(names[1:] != names[:-1], axis=1)])) if len(of) else np.zeros(0, int)
+    net = np.add.reduceat(turn, new) if len(new) else np.zeros(0, int)
+    new, net = new[net != 0], net[net != 0]
+    f, of = names[new] * SNAP, of[new]
+    x0, y0, x1, y1 = f.T
+    flat = np.abs(x1 - x0) >= np.abs(y1 - y0)
+    place, mate = _each(size[of])
+    g = e[mate + start[of[place]]]
+    level = flat[place]
+    gv, gu, hv, hu = (np.where(level, g[:, i], g[:, j]) for i, j in ((0, 1), (1, 0), (2, 3), (3, 2)))
+    across, beyond = np.where(flat, (x0 + x1) / 2, (y0 + y1) / 2)[place], np.where(flat, (y0 + y1) / 2, (x0 + x1) / 2)[place]
+    over = (gv <= across) != (hv <= across)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        where = gu + (across - gv) / (hv - gv) * (hu - gu)
+    rising = np.where(hv > gv, 1, -1) * np.where(level, -1, 1)
+    far = np.bincount(place, np.where(over & (where > beyond + 3 * SNAP), rising, 0), len(f)).astype(int)
+    beside = far + net * np.where(flat, -1, np.where(y1 > y0, 1, -1))
+    left, right = np.where(flat | ~(y1 > y0), far, beside), np.where(flat | ~(y1 > y0), beside, far)
+    keep = (left % 2 != 0) != (right % 2 != 0)
+    f = np.where((left % 2 != 0)[:, None], f, f[:, [2, 3, 0, 1]])[keep]
+    return np.split(f, np.cumsum(np.bincount(of[keep], minlength=len(size)))[:-1])
+
+
 def chain(pieces: np.ndarray) -> list[np.ndarray]:
     """Closed rings of directed pieces; where several leave a corner, the sharpest turn to the left is taken, so that rings don't cross or touch themselves."""
-    key = lambda x, y: (round(x / SNAP), round(y / SNAP))
+    keys = [tuple(k) for k in np.round(np.asarray(pieces, float) / SNAP).astype(np.int64).tolist()]
     leave: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for k, piece in enumerate(pieces):
-        leave[key(*piece[:2])].append(k)
-    used, rings = np.zeros(len(pieces), bool), []
+    for k, key in enumerate(keys):
+        leave[key[:2]].append(k)
+    used, rings = [False] * len(pieces), []
     for start in range(len(pieces)):
         if used[start]:
             continue
         ring, k = [], start
         while not used[k]:
             used[k] = True
-            ring.append(pieces[k, :2])
-            ways = [j for j in leave[key(*pieces[k, 2:])] if not used[j]]
+            ring.append(k)
+            ways = [j for j in leave[keys[k][2:]] if not used[j]]
             if not ways:
                 break
+            if len(ways) == 1:
+                k = ways[0]
+                continue
             d = pieces[k, 2:] - pieces[k, :2]
             turn = lambda j: np.arctan2(d[0] * (pieces[j, 3] - pieces[j, 1]) - d[1] * (pieces[j, 2] - pieces[j, 0]), d @ (pieces[j, 2:] - pieces[j, :2]))  # noqa: B023, E731
             k = max(ways, key=turn)
-        r = np.array(ring)
+        r = pieces[ring, :2]
         # Corners on a straight way are left out.
         while len(r) > 2:
             before, after = r - np.roll(r, 1, axis=0), np.roll(r, -1, axis=0) - r
@@ -244,6 +341,8 @@ def _holds(ring: np.ndarray, x: float, y: float) -> bool:
 
 def nest(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     """Polygons (outer ring counter-clockwise, then holes clockwise) of rings that don't cross, by how many others hold each."""
+    if len(rings) == 1:
+        return [[rings[0] if _signed(rings[0]) > 0 else rings[0][::-1]]]
     size = [abs(_signed(r)) for r in rings]
     inside = []
     for i, r in enumerate(rings):
@@ -302,20 +401,27 @@ def union_rings(pieces: DataFrame) -> DataFrame:
 def repair(polygons: DataFrame, polygon_id: str, rings: str = "rings") -> DataFrame:
     """(polygon_id, part, rings): valid parts under the even-odd rule, largest first; polygons that cover nothing have no row."""
 
-    def run(batches):
-        for pdf in batches:
-            ids, parts, out = [], [], []
-            for i, r in zip(pdf[polygon_id], pdf["rings"], strict=True):
-                got = nest(chain(boundary(_edges(r if r is not None else [], False), "odd")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, rings_, held = [], [], [], []
+            for i, piece in enumerate(odd_boundaries(_edges_of(batch.column(1)))):
+                got = nest(chain(piece))
                 got.sort(key=lambda p: -abs(_signed(p[0])))
-                ids += [i] * len(got)
+                rows += [i] * len(got)
                 parts += range(len(got))
-                out += _rows(got)
-            if ids:
-                yield pd.DataFrame({polygon_id: ids, "part": pd.Series(parts, dtype="int32"), "rings": out})
+                held += [len(p) for p in got]
+                rings_ += [r for p in got for r in p]
+            if rows:
+                points = np.vstack([x for r in rings_ for x in (r, r[:1])])
+                at = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+                shapes = pa.ListArray.from_arrays(at(held), pa.ListArray.from_arrays(at([len(r) + 1 for r in rings_]), flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(parts, pa.int32()), shapes], [polygon_id, "part", "rings"])
 
     kind = polygons.schema[polygon_id].dataType.simpleString()
-    return polygons.select(polygon_id, F.col(rings).alias("rings")).mapInPandas(run, f"`{polygon_id}` {kind}, part int, rings {geo.POLYGON}")
+    # A small file is one task, but its polygons are work for all.
+    spread = polygons.select(polygon_id, F.col(rings).alias("rings")).repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInArrow(run, f"`{polygon_id}` {kind}, part int, rings {geo.POLYGON}")
 
 
 def assemble(ways: DataFrame, relation_id: str, points: str = "points") -> DataFrame:

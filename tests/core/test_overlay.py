@@ -183,3 +183,22 @@ def test_deep_cover_is_left_out():
     rnd = np.random.default_rng(1)
     many = [square(-500, -500, 3000), *[square(x, y, 300) for x, y in rnd.uniform(0, 1000, (5000, 2))]]
     assert not list(overlay.parts_of(many, (0.0, 0.0, 1000.0, 1000.0)))
+
+
+def test_boundaries_of_many_polygons_are_those_of_each():
+    rnd = np.random.default_rng(3)
+    polygons = [np.zeros((0, 4))]
+    for k in range(400):
+        corners = rnd.integers(0, 6, (int(rnd.integers(3, 9)), 2)).astype(float) if k % 2 else rnd.uniform(0, 6, (int(rnd.integers(3, 90 if k % 40 == 0 else 9)), 2))
+        polygons.append(overlay._edges([[{"x": x, "y": y} for x, y in part] for part in np.array_split(corners, 1 + k % 2)], False))
+    for e, got in zip(polygons, overlay.odd_boundaries(polygons), strict=True):
+        want = overlay.boundary(e, "odd")
+        assert got.shape == want.shape and np.abs(got - want).max(initial=0) < 1e-9
+
+
+def test_repair_handles_polygons_together(spark, monkeypatch):
+    """One by one they took about a millisecond each."""
+    monkeypatch.setattr(overlay, "boundary", None)
+    rows = spark.createDataFrame([(k, [[(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]]) for k in range(50)] + [(99, None)], f"id long, rings {geo.POLYGON}")
+    got = overlay.repair(rows, "id").collect()
+    assert len(got) == 100 and {r.part for r in got} == {0, 1}
